@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import q_columns  # noqa: F401
+from . import q_columns, q_merge, q_summary  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
