@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .textscan import strip
+
 
 def substr(c: Column, start: int, n: int | None = None) -> Column:
     return F.substring(c, start, n) if n is not None else F.substr(c, F.lit(start))
@@ -63,6 +65,6 @@ def catx(sep: str, *cols: Column) -> Column:
 
 
 def join_parts(*cols: Column) -> Column:
-    """Non-empty parts joined by a blank, the result trimmed."""
+    """Non-empty parts joined by a blank, without white space at the ends."""
     parts = F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
-    return F.trim(F.array_join(F.filter(parts, lambda x: x != ""), " "))
+    return strip(F.array_join(F.filter(parts, lambda x: x != ""), " "))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.textscan import strip
+from ..functions.textscan import lines, strip
 
 # Chunk length and overlap in characters, shortest section kept.
 CHUNK_SIZE = 2048
@@ -112,32 +112,34 @@ def chunk_counts(chunks: DataFrame, by: str = "source", name: str = "chunks") ->
     return chunks.groupBy(by).agg(F.count(F.lit(1)).alias(name))
 
 
-def line_marks(c: Column, comment: str, skip: str, mark: str) -> Column:
-    """Per text: struct(total, missing) of substantive lines and those without a mark.
+def line_marks(df: DataFrame, text: str, comment: str, skip: str, mark: str) -> DataFrame:
+    """Replace ``text`` by ``total`` and ``missing``: substantive lines, and those without a mark.
 
     A line is substantive when it is not blank, does not start with ``comment`` and does not match
     ``skip``. It is marked when it contains ``mark``, or when the first non-blank of the next two
-    lines starts with ``mark``. Works on the line array of each row; nothing is shuffled.
+    lines starts with ``mark``. Each line meets its successors by zipping the line array with
+    itself, shifted; nothing is exploded or shuffled.
     """
-    from ..functions.textscan import lines
-
-    rows = F.transform(lines(c), lambda x: F.struct(x.alias("raw"), strip(x).alias("s")))
-
-    def first_near(i: Column) -> Column:
-        near = F.array(
-            F.get(rows, i + 1).getField("s"),
-            F.get(rows, i + 2).getField("s"),
-        )
-        return F.get(F.filter(near, lambda s: s != ""), F.lit(0))
+    rest = [c for c in df.columns if c != text]
+    split = df.select(*rest, lines(F.col(text)).alias("__raw"))
+    both = split.withColumn("__s", F.transform("__raw", lambda x: strip(x)))
+    none = F.array(F.lit(""), F.lit(""))
+    near = F.arrays_zip(
+        F.col("__raw").alias("raw"),
+        F.col("__s").alias("s"),
+        F.slice(F.concat("__s", none), F.lit(2), F.size("__s")).alias("n1"),
+        F.slice(F.concat("__s", none), F.lit(3), F.size("__s")).alias("n2"),
+    )
 
-    def judge(x: Column, i: Column) -> Column:
-        s = x.getField("s")
+    def judge(x: Column) -> Column:
+        s, n1, n2 = x.getField("s"), x.getField("n1"), x.getField("n2")
         real = (s != "") & ~s.startswith(comment) & ~s.rlike(skip)
-        marked = x.getField("raw").contains(mark) | F.coalesce(first_near(i).startswith(mark), F.lit(False))
+        marked = x.getField("raw").contains(mark) | F.when(n1 != "", n1).otherwise(n2).startswith(mark)
         return F.when(real, F.when(marked, 0).otherwise(1)).otherwise(-1)
 
-    verdicts = F.transform(rows, judge)
-    return F.struct(
-        F.size(F.filter(verdicts, lambda v: v >= 0)).cast("bigint").alias("total"),
-        F.size(F.filter(verdicts, lambda v: v == 1)).cast("bigint").alias("missing"),
+    judged = both.select(*rest, F.transform(near, judge).alias("__v"))
+    return judged.select(
+        *rest,
+        F.size(F.filter("__v", lambda v: v >= 0)).cast("bigint").alias("total"),
+        F.size(F.filter("__v", lambda v: v == 1)).cast("bigint").alias("missing"),
     )

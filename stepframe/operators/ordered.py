@@ -194,14 +194,17 @@ def retain_fold(
 
     def fold(rows: DataFrame, start: Column) -> DataFrame:
         def advance(acc: Column, r: Column) -> Column:
-            new = step(acc.getField("cur"), r.getField("row")).cast(state_type)
-            return F.struct(new.alias("cur"), F.concat(acc.getField("all"), F.array(new)).alias("all"))
+            new = step(F.element_at(acc, -1), r.getField("row")).cast(state_type)
+            return F.concat(acc, F.array(new))
 
-        zero = F.struct(start.alias("cur"), F.array().cast(f"array<{state_type}>").alias("all"))
+        # the array holds the start state and one state per row
+        states = F.aggregate(
+            "__rows", F.array(start), advance, lambda acc: F.slice(acc, 2, F.size(acc) - 1)
+        )
         grouped = rows.groupBy(*by).agg(
             F.array_sort(F.collect_list(row)).alias("__rows"), F.first("__start").alias("__start")
         )
-        return grouped.withColumn("__states", F.aggregate("__rows", zero, advance, lambda a: a.getField("all")))
+        return grouped.withColumn("__states", states)
 
     def emit(folded: DataFrame) -> DataFrame:
         pairs = folded.select(F.inline(F.arrays_zip("__rows", "__states")))

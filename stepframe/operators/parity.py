@@ -168,8 +168,8 @@ def line_coverage(
     name: str = "has_comments",
 ) -> DataFrame:
     """Share of substantive lines without a mark: none → pass, below 0.7 → warning, else fail."""
-    out = df.withColumn("__m", line_marks(F.col(text), comment, skip, mark))
-    total, missing = F.col("__m.total"), F.col("__m.missing")
+    out = line_marks(df, text, comment, skip, mark)
+    total, missing = F.col("total"), F.col("missing")
     status = (
         F.when(total == 0, "skipped")
         .when(missing == 0, "pass")
@@ -179,8 +179,8 @@ def line_coverage(
     return out.select(
         *[c for c in df.columns if c != text],
         F.lit(name).alias("name"),
-        total.alias("total"),
-        missing.alias("missing"),
+        "total",
+        "missing",
         status.alias("status"),
     )
 

@@ -71,36 +71,23 @@ def generate(
     kind = probe.simpleString()
     start = F.struct(*[state[f].alias(f) for f in fields]).cast(kind)
 
-    def goes_on(s: Column, first: bool) -> Column:
-        if not until:
-            return F.coalesce(cond(s), F.lit(False))
-        return F.lit(True) if first else ~F.coalesce(cond(s), F.lit(False))
-
-    def advance(s: Column) -> Column:
-        new = step(s)
-        return F.struct(*[(new[f] if f in new else s.getField(f)).alias(f) for f in fields]).cast(kind)
-
-    def grow(acc: Column, i: Column) -> Column:
-        cur = acc.getField("cur")
-        more = acc.getField("more")
-        nxt = advance(cur)
-        emitted = nxt if output == "after" else cur
-        return F.when(
-            more,
-            F.struct(
-                nxt.alias("cur"),
-                goes_on(nxt, False).alias("more"),
-                F.concat(acc.getField("all"), F.array(emitted)).alias("all"),
-            ),
-        ).otherwise(acc)
-
-    zero = F.struct(
-        start.alias("cur"), goes_on(start, True).alias("more"), F.array().cast(f"array<{kind}>").alias("all")
-    )
-    ended = lambda acc: F.when(
-        acc.getField("more"), F.raise_error(F.lit(f"loop not finished after {max_steps} steps")).cast(f"array<{kind}>")
-    ).otherwise(acc.getField("all"))
-    made = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), zero, grow, ended)
+    def ended(acc: Column) -> Column:
+        met = F.coalesce(cond(F.element_at(acc, -1)), F.lit(False))
+        return (F.size(acc) > 1) & met if until else ~met
+
+    def grow(acc: Column, _i: Column) -> Column:
+        last = F.element_at(acc, -1)
+        new = step(last)
+        nxt = F.struct(*[(new[f] if f in new else last.getField(f)).alias(f) for f in fields]).cast(kind)
+        return F.when(ended(acc), acc).otherwise(F.concat(acc, F.array(nxt)))
+
+    def emit(acc: Column) -> Column:
+        # the array holds the start state and one state per round
+        made = F.slice(acc, 2 if output == "after" else 1, F.size(acc) - 1)
+        late = F.raise_error(F.lit(f"loop not finished after {max_steps} steps")).cast(f"array<{kind}>")
+        return F.when(ended(acc), made).otherwise(late)
+
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), F.array(start), grow, emit)
     out = df.select("*", F.posexplode(made).alias("__pos", "__s"))
     kept = [c for c in df.columns if c not in fields]
     return out.select(*kept, *[F.col("__s")[f].alias(f) for f in fields], (F.col("__pos") + 1).cast("bigint").alias("step_no"))

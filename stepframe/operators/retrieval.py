@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.textscan import strip
+
 # Fixed value: hits per query.
 TOP_K = 4
 #: vector cells (vectors x dimension) of the query side that one broadcast may hold
@@ -180,7 +182,7 @@ def context(
         F.lit(" (from "), F.coalesce(F.col(source), F.lit("unknown")), F.lit(")"),
         F.when(F.coalesce(F.col(pattern), F.lit("")) != "", F.concat(F.lit(": "), F.col(pattern))).otherwise(""),
     )
-    piece = F.concat(label, F.lit("\n"), F.trim(F.col(text)), F.lit("\n"))
+    piece = F.concat(label, F.lit("\n"), strip(F.col(text)), F.lit("\n"))
     bounded = hits.where(F.col(rank) <= k)
     return (
         bounded.groupBy(key, kind)

@@ -62,10 +62,7 @@ def read_texts(spark: SparkSession, path: str, suffixes: Sequence[str] = (".md",
     """
     globs = "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", globs)
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=globs)
         .select(F.col("_metadata.file_path").alias("filepath"), F.col("value").alias("text"))
     )
 
