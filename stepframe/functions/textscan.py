@@ -7,8 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters of a name, and line ends.
+# Characters of a name, white space, line ends.
 WORD = r"[\p{L}\p{N}_]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -35,21 +39,31 @@ def pairs(df: DataFrame, key, c: str, keyword: str = "%let") -> DataFrame:
     return rows.groupBy(key, F.col("d.n").alias("name")).agg(F.trim(F.max_by("d.v", "pos")).alias("value"))
 
 
+def raw_lines(c: Column) -> Column:
+    """The text split at line ends; a final line end leaves an empty last entry."""
+    return F.split(c, LINE_ENDS)
+
+
 def lines(c: Column) -> Column:
     """The text as an array of lines; a final line end does not start another line."""
-    parts = F.split(c, LINE_ENDS)
-    last_empty = F.try_element_at(parts, F.lit(-1)) == ""
-    return F.when(last_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # the one-entry array binds the split once
+    return F.get(
+        F.transform(
+            F.array(raw_lines(c)),
+            lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p),
+        ),
+        F.lit(0),
+    )
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, line ends included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def marker_lines(df: DataFrame, c: str, prefix: str, name: str = "line") -> DataFrame:
     """Stripped lines that start with ``prefix``, with their 1-based line number."""
-    rows = df.select("*", F.posexplode(lines(F.col(c))).alias("__pos", "__line"))
+    rows = df.select("*", F.posexplode(raw_lines(F.col(c))).alias("__pos", "__line"))
     kept = rows.withColumn(name, strip(F.col("__line"))).where(F.col(name).startswith(prefix))
     return kept.withColumn("line_no", (F.col("__pos") + 1).cast("bigint")).drop(c, "__pos", "__line")
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.textscan import lines, strip
+from ..functions.textscan import raw_lines, strip
+from .spread import fan_out
 
 # Chunk length and overlap in characters, shortest section kept.
 CHUNK_SIZE = 2048
@@ -71,12 +72,10 @@ def size_chunks(
         for texts in batches:
             yield texts.map(lambda t: None if t is None else _cuts(t, size, overlap, keep_tail))
 
-    # short texts are one chunk as they are and need no Python worker
-    long_text = df.where(F.length(text) > size).withColumn("__chunks", split(F.col(text)))
-    short_text = df.where(F.length(text) <= size).withColumn(
-        "__chunks", F.filter(F.array(strip(F.col(text))), lambda c: c != "")
-    )
-    rows = long_text.unionByName(short_text)
+    # one pass: the Python worker sees long texts only, a short text is one chunk as it is
+    rows = fan_out(df).withColumn("__long", split(F.when(F.length(text) > size, F.col(text))))
+    short = F.filter(F.array(strip(F.col(text))), lambda c: c != "")
+    rows = rows.withColumn("__chunks", F.when(F.length(text) > size, F.col("__long")).otherwise(short))
     return rows.select(
         *[c for c in df.columns if c != text],
         F.posexplode("__chunks").alias("__pos", text),
@@ -121,7 +120,7 @@ def line_marks(df: DataFrame, text: str, comment: str, skip: str, mark: str) ->
     itself, shifted; nothing is exploded or shuffled.
     """
     rest = [c for c in df.columns if c != text]
-    split = df.select(*rest, lines(F.col(text)).alias("__raw"))
+    split = df.select(*rest, raw_lines(F.col(text)).alias("__raw"))
     both = split.withColumn("__s", F.transform("__raw", lambda x: strip(x)))
     none = F.array(F.lit(""), F.lit(""))
     near = F.arrays_zip(

@@ -36,7 +36,8 @@ def merge(
     Adaptive execution splits a skewed inner join on both sides but cannot split a full join, nor
     the optional side of an outer one. When a key is hot there, or ``split_hot=True``, the merge
     runs as inner join plus anti-joins against the distinct keys, each of which can be split.
-    ``split_hot=None`` finds out from row counts and a sample of the keys.
+    ``split_hot=None`` finds out from row counts and a sample of the keys of the sides concerned;
+    pass ``False`` for inputs with one row per key.
     """
     by = as_list(by)
     if len(frames) < 2:
@@ -52,7 +53,8 @@ def merge(
     if how in ("left_only", "right_only") and not flags:
         return _only(*(frames if how == "left_only" else frames[::-1]), by, frames)
     if split_hot is None:
-        split_hot = how in ("all", "left", "right") and any(has_hot_group(f, by) for f in frames)
+        optional = {"all": frames, "left": frames[1:], "right": frames[:1]}.get(how, [])
+        split_hot = any(has_hot_group(f, by) for f in optional)
 
     marked = [f.withColumn(n, F.lit(1)) for f, n in zip(frames, names)]
     out = marked[0]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .keys import as_list
+from .spread import fan_out
 
 
 def to_long(df: DataFrame, by, vars, name: str = "variable", value: str = "value") -> DataFrame:
@@ -88,6 +89,6 @@ def generate(
         return F.when(ended(acc), made).otherwise(late)
 
     made = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), F.array(start), grow, emit)
-    out = df.select("*", F.posexplode(made).alias("__pos", "__s"))
+    out = fan_out(df).select("*", F.posexplode(made).alias("__pos", "__s"))
     kept = [c for c in df.columns if c not in fields]
     return out.select(*kept, *[F.col("__s")[f].alias(f) for f in fields], (F.col("__pos") + 1).cast("bigint").alias("step_no"))

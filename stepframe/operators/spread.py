@@ -27,7 +27,6 @@ from .keys import Key, same_keys, sort_columns
 
 PIECE = "__piece"
 _CUTS = "__cuts"
-_SPLIT = "__split"
 
 #: rows one task may sort; a larger group is split. Session setting ``stepframe.pieceRows``.
 PIECE_ROWS = 2_000_000
@@ -35,6 +34,8 @@ PIECE_ROWS = 2_000_000
 MAX_PIECES = 10_000
 #: sampled rows per piece
 _SAMPLE_PER_PIECE = 20
+#: up to this many cut points are written into the plan as a decision tree of literals
+_TREE_CUTS = 512
 
 
 def piece_rows(spark: SparkSession) -> int:
@@ -47,6 +48,16 @@ def _sample(df: DataFrame, cols: Sequence[str], rows: int, wanted: int) -> tuple
     return (narrow if fraction >= 1.0 else narrow.sample(fraction, seed=17)), fraction
 
 
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores before row-wise work that is heavy on the processor.
+
+    Only when the input sits in fewer files than there are cores; a large input has enough
+    partitions of its own and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df._jdf.inputFiles()) >= cores else df.repartition(cores)
+
+
 def has_hot_group(df: DataFrame, by: Sequence[str]) -> bool:
     """True when some group of ``by`` is larger than one piece. Reads only the key columns."""
     limit = piece_rows(df.sparkSession)
@@ -88,7 +99,10 @@ class Spread:
         wanted = max(1_000, _SAMPLE_PER_PIECE * pieces)
         names = self.by + [k.name for k in self.keys]
         sample, fraction = _sample(df, names, rows, wanted)
-        ordered = sample.orderBy(*sort_columns([Key(b) for b in self.by]), *sort_columns(self.keys))
+        # a bounded sample, so one task can sort it the way Spark sorts
+        ordered = sample.repartition(1).sortWithinPartitions(
+            *sort_columns([Key(b) for b in self.by]), *sort_columns(self.keys)
+        )
         groups: dict[tuple, list[tuple]] = {}
         for r in ordered.collect():
             values = tuple(r)
@@ -103,7 +117,49 @@ class Spread:
         return hot or ([([],)] if not self.by else [])
 
     def _with_piece(self, df: DataFrame, cuts: list[tuple]) -> DataFrame:
+        """Add the piece number: 0, 1, ... within a split group, missing in groups that stay whole."""
         types = {f.name: f.dataType for f in df.schema.fields}
+        names = self.by + [k.name for k in self.keys]
+        simple = all(isinstance(types[n], T.AtomicType) for n in names)
+        if simple and sum(len(c[-1]) + 1 for c in cuts) <= _TREE_CUTS:
+            return df.withColumn(PIECE, self._tree(cuts, types))
+        return self._by_table(df, cuts, types)
+
+    def _before(self, cut: Sequence[Column]) -> Column:
+        """True when the row sorts before the cut point."""
+        result = F.lit(False)
+        for k, c in reversed(list(zip(self.keys, cut))):
+            v = F.col(k.name)
+            if k.desc:
+                less = F.coalesce(v > c, v.isNotNull() & c.isNull())
+            else:
+                less = F.coalesce(v < c, v.isNull() & c.isNotNull())
+            result = less | (v.eqNullSafe(c) & result)
+        return result
+
+    def _tree(self, cuts: list[tuple], types: dict[str, T.DataType]) -> Column:
+        """Nested comparisons with literals: log2(cuts) per row, inside generated code."""
+
+        def search(points: list[tuple], lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            cut = [F.lit(v).cast(types[k.name]) for k, v in zip(self.keys, points[mid])]
+            return F.when(self._before(cut), search(points, lo, mid)).otherwise(
+                search(points, mid + 1, hi)
+            )
+
+        if not self.by:
+            return search(cuts[0][-1], 0, len(cuts[0][-1]))
+        piece = None
+        for *key, points in cuts:
+            same = same_keys((F.col(b), F.lit(v).cast(types[b])) for b, v in zip(self.by, key))
+            found = search(points, 0, len(points))
+            piece = F.when(same, found) if piece is None else piece.when(same, found)
+        return piece
+
+    def _by_table(self, df: DataFrame, cuts: list[tuple], types: dict[str, T.DataType]) -> DataFrame:
+        """Many cut points: a broadcast table of sorted arrays, at most MAX_PIECES entries."""
         cut_type = T.StructType(
             [T.StructField(f"k{i}", types[k.name]) for i, k in enumerate(self.keys)]
         )
@@ -112,48 +168,32 @@ class Spread:
             + [T.StructField(_CUTS, T.ArrayType(cut_type))]
         )
         table = df.sparkSession.createDataFrame(cuts, schema)
-        most = max(len(c[-1]) for c in cuts)
         if self.by:
-            # at most MAX_PIECES rows, see _find_cuts
             on = same_keys((df[b], table[f"__by{i}"]) for i, b in enumerate(self.by))
             found = df.join(F.broadcast(table), on, "left").drop(*[f"__by{i}" for i in range(len(self.by))])
         else:
             found = df.withColumn(_CUTS, table.select(_CUTS).scalar())
-        return (
-            found.withColumn(PIECE, self._piece_of(F.col(_CUTS), most))
-            .withColumn(_SPLIT, F.col(_CUTS).isNotNull())
-            .drop(_CUTS)
-        )
-
-    def _piece_of(self, cuts: Column, most: int) -> Column:
-        """Number of cut points at or before the row: a binary search in the sorted array."""
+        most = max(len(c[-1]) for c in cuts)
+        return found.withColumn(PIECE, self._array_search(F.col(_CUTS), most)).drop(_CUTS)
 
-        def before(cut: Column) -> Column:
-            result = F.lit(False)
-            for i, k in reversed(list(enumerate(self.keys))):
-                v, c = F.col(k.name), cut.getField(f"k{i}")
-                if k.desc:
-                    less = F.coalesce(v > c, v.isNotNull() & c.isNull())
-                else:
-                    less = F.coalesce(v < c, v.isNull() & c.isNotNull())
-                result = less | (v.eqNullSafe(c) & result)
-            return result
+    def _array_search(self, cuts: Column, most: int) -> Column:
+        """Number of cut points at or before the row, by binary search in the sorted array."""
 
         def narrow(acc: Column, _step: Column) -> Column:
             lo, hi = acc.getField("lo"), acc.getField("hi")
             mid = F.shiftright(lo + hi, 1)
-            left = before(F.get(cuts, mid))
-            return F.when(lo >= hi, acc).otherwise(
-                F.struct(
-                    F.when(left, lo).otherwise(mid + 1).alias("lo"),
-                    F.when(left, mid).otherwise(hi).alias("hi"),
-                )
+            point = F.get(cuts, mid)
+            cut = [point.getField(f"k{i}") for i in range(len(self.keys))]
+            return (
+                F.when(lo >= hi, acc)
+                .when(self._before(cut), F.struct(lo.alias("lo"), mid.alias("hi")))
+                .otherwise(F.struct((mid + 1).alias("lo"), hi.alias("hi")))
             )
 
         steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))
         start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
         found = F.aggregate(steps, start, narrow, lambda acc: acc.getField("lo"))
-        return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
+        return F.when(cuts.isNotNull(), found)
 
     # -- ordered steps ----------------------------------------------------------------------
 
@@ -166,7 +206,7 @@ class Spread:
     def carry(self, **totals: Column) -> DataFrame:
         """One row per piece of a split group with the total over all *earlier* pieces."""
         per_piece = (
-            self._pieces.where(_SPLIT).groupBy(*self.parts).agg(*[c.alias(n) for n, c in totals.items()])
+            self._pieces.where(F.col(PIECE).isNotNull()).groupBy(*self.parts).agg(*[c.alias(n) for n, c in totals.items()])
         )
         earlier = (
             Window.partitionBy(*self.by).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
@@ -180,7 +220,7 @@ class Spread:
         contributes at most ``n`` rows, found by a pruned row-number filter.
         """
         nearest = (
-            self._pieces.where(_SPLIT)
+            self._pieces.where(F.col(PIECE).isNotNull())
             .withColumn("__rn", F.row_number().over(self.window(reverse=not forward)))
             .where(F.col("__rn") <= n)
             .groupBy(*self.parts)

@@ -52,6 +52,7 @@ def means(
             df = df.where(F.col(b).isNotNull())
     named = {s: (names or {}).get(s) or [f"{v}_{s}" for v in vars] for s in stats}
     quantiles = [s for s in stats if s in QUANTILES]
+    probs = sorted({QUANTILES[s] for s in quantiles})
     split = bool(quantiles) and df.count() > piece_rows(df.sparkSession)
 
     aggs = []
@@ -60,12 +61,13 @@ def means(
             if s in QUANTILES:
                 if split:
                     continue
-                expr = F.percentile(F.col(v), F.lit(QUANTILES[s]))
+                # one value list per variable serves all its quantiles
+                at = probs.index(QUANTILES[s])
+                expr = F.get(F.percentile(F.col(v), F.array(*[F.lit(p) for p in probs])), F.lit(at))
             else:
                 expr = _SIMPLE[s](F.col(v))
             aggs.append(expr.alias(named[s][i]))
     if split:
-        probs = sorted({QUANTILES[s] for s in quantiles})
         q = exact_quantiles(df, vars, probs, by)
         picks = [
             F.col(f"__q_{i}_{probs.index(QUANTILES[s])}").alias(named[s][i])

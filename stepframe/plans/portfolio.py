@@ -67,7 +67,8 @@ def portfolio_stats(accounts: DataFrame) -> DataFrame:
 def loan_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Accounts of this month as NEW or EXISTING, with the change since the month before."""
     prev = rename(previous, {"outstanding_balance": "prev_balance", "loan_to_value": "prev_ltv"})
-    both = merge([current, prev], "account_id", keep="left", flags=["curr", "prev"])
+    # one row per account on both sides
+    both = merge([current, prev], "account_id", keep="left", flags=["curr", "prev"], split_hot=False)
     out = assign_when(
         both,
         [
@@ -86,7 +87,7 @@ def loan_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def top_risk(changes: DataFrame, n: int = 5) -> DataFrame:
-    return top_n(changes, "branch_id", ["-loan_to_value", "account_id"], n)
+    return top_n(changes, "branch_id", ["-loan_to_value", "account_id"], n, ties=False)
 
 
 def run(raw: DataFrame, previous: DataFrame, **options) -> dict[str, DataFrame]:
