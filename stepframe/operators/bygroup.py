@@ -17,6 +17,8 @@ from .keys import as_list, parse, same_keys, sort_columns, total_order
 from .spread import has_hot_group
 
 _NO = "__no"
+#: Spark prunes ``row_number() <= n`` before the shuffle up to this n (its default setting)
+_PRUNED = 1_000
 
 
 def by_counter(df: DataFrame, by, order_by, name: str = "count", ties: bool = True) -> DataFrame:
@@ -27,6 +29,8 @@ def by_counter(df: DataFrame, by, order_by, name: str = "count", ties: bool = Tr
 def _limited(df: DataFrame, by, order_by, n: int, ties: bool, reverse: bool = False) -> DataFrame:
     by = as_list(by)
     keys = total_order(df, by, order_by, ties)
+    if n > _PRUNED and not reverse:
+        return ordered.row_number(df, by, order_by, _NO, ties).where(F.col(_NO) <= n)
     w = Window.partitionBy(*by).orderBy(*sort_columns(keys, reverse))
     return df.withColumn(_NO, F.row_number().over(w)).where(F.col(_NO) <= n)
 

@@ -33,11 +33,11 @@ def sort_columns(keys: Sequence[Key], reverse: bool = False) -> list[Column]:
     ]
 
 
-def _orderable(dt: T.DataType) -> bool:
+def orderable(dt: T.DataType) -> bool:
     if isinstance(dt, T.ArrayType):
-        return _orderable(dt.elementType)
+        return orderable(dt.elementType)
     if isinstance(dt, T.StructType):
-        return all(_orderable(f.dataType) for f in dt.fields)
+        return all(orderable(f.dataType) for f in dt.fields)
     return not isinstance(dt, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
 
@@ -56,7 +56,7 @@ def total_order(
     if ties:
         used = set(by) | {k.name for k in keys}
         keys += [
-            Key(f.name) for f in df.schema.fields if f.name not in used and _orderable(f.dataType)
+            Key(f.name) for f in df.schema.fields if f.name not in used and orderable(f.dataType)
         ]
     if not keys:
         raise ValueError("a BY-group step needs order_by: a DataFrame has no row order of its own")

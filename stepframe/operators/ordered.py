@@ -114,8 +114,8 @@ def by_flags(df: DataFrame, by, order_by, ties: bool = True) -> DataFrame:
     outer, inner = parse(by)[0], parse(by)[1:]
     names = [outer.name] + [k.name for k in inner]
     rest = total_order(df, names, order_by, ties)
-    marked = df.withColumn("__k", F.struct(F.lit(1).alias("row"), *names))
-    sp = Spread(marked, [outer.name], inner + rest)
+    sp = Spread(df, [outer.name], inner + rest)
+    sp.add("__k", F.struct(F.lit(1).alias("row"), *names))
     sp.frame = _offset(sp, "__k", 1, False, "__prev")
     out = _offset(sp, "__k", 1, True, "__next")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.logic import BANDS_LONG, BELOW_BANDS_LONG, band
 from .chunking import line_marks
+from .ordered import row_number
 
 STATUSES = ("pass", "fail", "warning", "skipped")
 
@@ -248,7 +249,7 @@ def _icon(status: Column) -> Column:
     return expr
 
 
-def notes(checks: DataFrame, by, max_checks: int = 1_000) -> DataFrame:
+def notes(checks: DataFrame, by, max_checks: int = 900) -> DataFrame:
     """Failed, then warned details of a block joined by `` | ``.
 
     A block has a fixed list of checks. Should one have more than ``max_checks`` findings the job
@@ -258,8 +259,6 @@ def notes(checks: DataFrame, by, max_checks: int = 1_000) -> DataFrame:
     severity = F.when(F.col("status") == "fail", 0).when(F.col("status") == "warning", 1)
     bad = checks.withColumn("__s", severity).where(F.col("__s").isNotNull())
     order = F.struct("__s", "name", "detail")
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy("__s", "name", "detail")
     bounded = bad.withColumn("__no", F.row_number().over(w)).where(F.col("__no") <= max_checks + 1)
     found = F.array_sort(F.collect_list(order))
@@ -316,8 +315,6 @@ def report(
         F.lit("All checks passed.").alias("line"),
     )
     level = F.when(F.col("status") == "fail", "FAIL").when(F.col("status") == "warning", "WARN")
-    from .ordered import row_number
-
     bad = checks.withColumn("__level", level).where(F.col("__level").isNotNull())
     numbered = row_number(
         bad.select(block_no, "name", "detail", "__level"), block_no, ["name", "detail"], "line_no"

@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .bygroup import first_row
-from .keys import as_list, parse, sort_columns
+from .keys import as_list, orderable, parse, sort_columns
+from .spread import has_hot_group, number_copies
 
 
 def sort(df: DataFrame, keys, where: Column | None = None) -> DataFrame:
-    """Global sort, missing values lowest; ``where`` filters before the shuffle."""
-    return (df if where is None else df.where(where)).orderBy(*sort_columns(parse(keys)))
+    """Global sort, missing values lowest; ``where`` filters before the shuffle.
+
+    Rows with equal keys are ordered by a hash of their other columns. That makes the order
+    reproducible and lets the range partitioning cut through a key with very many rows. If one row
+    has very many copies they are numbered first, so that they can be cut apart as well.
+    """
+    if where is not None:
+        df = df.where(where)
+    names = df.columns
+    parsed = parse(keys)
+    order = sort_columns(parsed)
+    rest = [c for c in df.columns if c not in {k.name for k in parsed}]
+    if rest:
+        order.append(F.xxhash64(*rest))
+    if all(orderable(f.dataType) for f in df.schema.fields) and has_hot_group(df, names):
+        df = number_copies(df, "__copy")
+        order.append(F.col("__copy").asc())
+    return df.orderBy(*order).select(*names)
 
 
 def nodupkey(df: DataFrame, by, order_by=None, ties: bool = True) -> DataFrame:

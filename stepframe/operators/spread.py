@@ -27,6 +27,7 @@ from .keys import Key, same_keys, sort_columns
 
 PIECE = "__piece"
 _CUTS = "__cuts"
+_COPY = "__copy"
 
 #: rows one task may sort; a larger group is split. Session setting ``stepframe.pieceRows``.
 PIECE_ROWS = 2_000_000
@@ -59,7 +60,10 @@ def fan_out(df: DataFrame) -> DataFrame:
 
 
 def has_hot_group(df: DataFrame, by: Sequence[str]) -> bool:
-    """True when some group of ``by`` is larger than one piece. Reads only the key columns."""
+    """True when some group of ``by`` is larger than one piece. Reads only the key columns.
+
+    Judged from a sample: the answer chooses a plan, both plans give the same rows.
+    """
     limit = piece_rows(df.sparkSession)
     rows = df.count()
     if rows <= limit:
@@ -70,6 +74,21 @@ def has_hot_group(df: DataFrame, by: Sequence[str]) -> bool:
     return top / fraction > limit
 
 
+def number_copies(df: DataFrame, name: str, block: int = 100_000) -> DataFrame:
+    """Number the copies of equal rows 0, 1, ... without bringing them together.
+
+    Copies are counted by a partial aggregate and written out again in blocks that spread over
+    all tasks, so a row with very many copies is neither sorted nor listed in one place.
+    """
+    last = F.col("__n") - 1
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor(last / F.lit(block)))))
+    placed = blocks.repartition(F.xxhash64(*df.columns, "__block"))
+    start = F.col("__block") * block
+    numbers = F.sequence(start, F.least(start + (block - 1), last))
+    return placed.select(*df.columns, F.explode(numbers).alias(name))
+
+
 class Spread:
     """``frame`` is the input plus the piece number; ``parts`` are the window partition columns."""
 
@@ -77,6 +96,11 @@ class Spread:
         self.by, self.keys = list(by), list(keys)
         self._names = df.columns
         cuts = self._find_cuts(df)
+        if self._copies and set(self.by) | {k.name for k in self.keys} == set(df.columns):
+            # equal rows fill more than a piece: tell them apart, then cut again
+            df = number_copies(df, _COPY)
+            self.keys = [*self.keys, Key(_COPY)]
+            cuts = self._find_cuts(df)
         self.split = bool(cuts)
         self.parts = self.by + [PIECE] if self.split else self.by
         self._pieces = self._with_piece(df, cuts) if self.split else df
@@ -86,6 +110,7 @@ class Spread:
 
     def _find_cuts(self, df: DataFrame) -> list[tuple]:
         """[(by values, cut points)] for groups that need splitting; bounded by MAX_PIECES."""
+        self._copies = False
         spark, rows = df.sparkSession, df.count()
         limit = max(piece_rows(spark), math.ceil(rows / MAX_PIECES), 1)
         if self.by:
@@ -113,6 +138,7 @@ class Spread:
             if n < 2:
                 continue
             picks = [members[len(members) * j // n] for j in range(1, n)]
+            self._copies |= any(a == b for a, b in zip(picks, picks[1:]))
             hot.append((*key, [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]))
         return hot or ([([],)] if not self.by else [])
 
@@ -197,6 +223,11 @@ class Spread:
 
     # -- ordered steps ----------------------------------------------------------------------
 
+    def add(self, name: str, expr: Column) -> None:
+        """A column for the steps to work on."""
+        self._pieces = self._pieces.withColumn(name, expr)
+        self.frame = self.frame.withColumn(name, expr)
+
     def window(self, reverse: bool = False):
         return Window.partitionBy(*self.parts).orderBy(*sort_columns(self.keys, reverse))
 

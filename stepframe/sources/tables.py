@@ -29,14 +29,10 @@ def split_by_value(df: DataFrame, col: str, values: Sequence, prefix: str = "")
     return {f"{prefix}{v}": df.where(F.col(col) == v) for v in values}
 
 
-def write_by_value(df: DataFrame, col: str, path: str, fmt: str = "parquet", spread: int = 1) -> None:
+def write_by_value(df: DataFrame, col: str, path: str, fmt: str = "parquet") -> None:
     """One folder per value of ``col``, written in a single pass.
 
-    Each task writes what it holds; nothing is shuffled, so a value with most of the rows is
-    written by many tasks. ``spread`` > 1 first gathers each value into that many tasks, for fewer
-    and larger files.
+    Rows are rebalanced by value first: adaptive execution cuts a value with very many rows into
+    several tasks and puts small values together, so files get a sensible size either way.
     """
-    if spread > 1:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != col]), F.lit(spread))
-        df = df.repartition(F.col(col), salt)
-    df.write.mode("overwrite").format(fmt).partitionBy(col).save(path)
+    df.hint("rebalance", col).write.mode("overwrite").format(fmt).partitionBy(col).save(path)

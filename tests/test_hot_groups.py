@@ -147,3 +147,50 @@ def test_tables_without_rows(spark, small_pieces):
     assert rows(sf.row_index(none, "v")) == []
     assert rows(sf.row_number(none, "key", "v")) == []
     assert rows(sf.by_flags(none, "key", "v")) == []
+
+
+def test_hot_copies(spark, small_pieces):
+    """A third of all rows are copies of one row: they are spread over pieces too."""
+    data = [("a", 1)] * 400 + [("a", i % 60) for i in range(400)] + [(k, i % 7) for i in range(200) for k in "bc"]
+    df = spark.createDataFrame(data, "key string, v int")
+    for by in ([], ["key"]):
+        keys = total_order(df, by, "v")
+        sp = spread.Spread(df, by, keys)
+        assert spread._COPY in sp.frame.columns
+        sizes = sp.frame.where(f"{spread.PIECE} IS NOT NULL").groupBy(*by, spread.PIECE).count()
+        assert sizes.agg(F.max("count")).first()[0] <= 250
+        w = Window.partitionBy(*by).orderBy("key", "v") if not by else Window.partitionBy("key").orderBy("v")
+        order = ["key", "v"] if not by else ["v"]
+        want = df.withColumn("n", F.row_number().over(w).cast("bigint"))
+        assert rows(sf.row_number(df, by, order, "n")) == rows(want)
+    total = F.sum("v").over(Window.partitionBy("key").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    assert rows(sf.running_sum(df, "v", "key", "v", "t")) == rows(df.withColumn("t", total))
+
+
+def test_number_copies(spark):
+    df = spark.createDataFrame([("x",)] * 7 + [("y",)] + [(None,)] * 2, "k string")
+    got = rows(spread.number_copies(df, "i", block=3))
+    assert got == [(None, 0), (None, 1)] + [("x", i) for i in range(7)] + [("y", 0)]
+
+
+def test_large_top_n(skewed, small_pieces, monkeypatch):
+    from stepframe.operators import bygroup
+
+    want = rows(sf.top_n(skewed, "key", ["ts", "id"], 120, "r", ties=False))
+    monkeypatch.setattr(bygroup, "_PRUNED", 10)
+    assert rows(sf.top_n(skewed, "key", ["ts", "id"], 120, "r", ties=False)) == want
+
+
+def test_sort_with_hot_copies(spark, small_pieces):
+    df = spark.createDataFrame([("a", 1)] * 300 + [("b", i) for i in range(90)], "k string, v int")
+    out = sf.sort(df, ["-k"])
+    assert "__copy" in out._jdf.queryExecution().toString()
+    got = [tuple(r) for r in out.collect()]
+    assert [r[0] for r in got] == ["b"] * 90 + ["a"] * 300 and sorted(got) == rows(df)
+
+
+def test_flags_with_hot_copies(spark, small_pieces):
+    df = spark.createDataFrame([("a", 1)] * 300 + [("b", 1)] * 3, "k string, v int")
+    got = rows(sf.by_flags(df, "k", "v"))
+    assert got.count(("a", 1, 1, 0)) == 1 and got.count(("a", 1, 0, 1)) == 1 and got.count(("a", 1, 0, 0)) == 298
+    assert got[-3:] == [("b", 1, 0, 0), ("b", 1, 0, 1), ("b", 1, 1, 0)]

@@ -68,10 +68,24 @@ def test_nearest_against_brute_force(spark, monkeypatch):
         return {q: [r.vector_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] for q in vecs}
 
     assert found() == want
-    monkeypatch.setattr(retrieval, "MAX_CELLS", 250)  # several passes over query blocks
+    monkeypatch.setattr(retrieval, "MAX_CELLS", 250)  # several passes over blocks
     assert found() == want
 
 
+def test_nearest_ships_the_smaller_side(spark):
+    rnd = random.Random(4)
+    vecs = {i: [rnd.choice([0.0, 1.0]) for _ in range(3)] for i in range(200)}  # many equal vectors
+    few = {i: vecs[i] for i in range(0, 200, 23)}
+    schema = "vec_id bigint, embedding array<float>"
+    many_df = spark.createDataFrame(list(vecs.items()), schema).repartition(3)
+    few_df = spark.createDataFrame(list(few.items()), schema)
+    for q, v, qs, vs in ((many_df, few_df, vecs, few), (few_df, many_df, few, vecs)):
+        out = sf.nearest(q, v, k=4, query_id="vec_id").collect()
+        got = {i: [r.vector_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == i] for i in qs}
+        ids, mat = np.array(list(vs)), np.array(list(vs.values()))
+        assert got == {i: [int(x) for x in ids[np.lexsort((ids, ((mat - x0) ** 2).sum(1)))[:4]]] for i, x0 in qs.items()}
+
+
 def test_context_and_fallback(spark):
     hits = spark.createDataFrame(
         [(1, "k", 2, "b.md", None, " two "), (1, "k", 1, "a.md", "Alpha", "one")],
