@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .keys import as_list, parse, same_keys, sort_columns, total_order
 from .spread import Spread
 
@@ -213,6 +214,7 @@ def retain_fold(
     init_typed = init.cast(state_type)
     if rounds == 1:
         return emit(fold(numbered.withColumn("__start", init_typed), F.col("__start")))
+    shared_dir(df.sparkSession)  # each round is checkpointed there
     numbered = numbered.withColumn("__chunk", F.floor((F.col("__no") - 1) / F.lit(chunk_rows))).checkpoint()
     out, states = None, None
     for r in range(rounds):

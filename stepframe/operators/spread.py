@@ -35,6 +35,8 @@ PIECE_ROWS = 2_000_000
 MAX_PIECES = 10_000
 #: sampled rows per piece
 _SAMPLE_PER_PIECE = 20
+#: largest input that ``fan_out`` shuffles
+_FAN_OUT_BYTES = 1 << 30
 #: up to this many cut points are written into the plan as a decision tree of literals
 _TREE_CUTS = 512
 
@@ -52,11 +54,13 @@ def _sample(df: DataFrame, cols: Sequence[str], rows: int, wanted: int) -> tuple
 def fan_out(df: DataFrame) -> DataFrame:
     """Spread rows over all cores before row-wise work that is heavy on the processor.
 
-    Only when the input sits in fewer files than there are cores; a large input has enough
-    partitions of its own and passes unchanged.
+    Only for small inputs that sit in fewer files than there are cores. A large input has enough
+    partitions of its own and passes unchanged, and so does one that is not read from files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df._jdf.inputFiles()) >= cores else df.repartition(cores)
+    files = len(df._jdf.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < files < cores and size <= _FAN_OUT_BYTES else df
 
 
 def has_hot_group(df: DataFrame, by: Sequence[str]) -> bool:
