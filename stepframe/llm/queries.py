@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, decontaminate, licenses, packing
+from . import chat, decision_list, decontaminate, licenses, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,13 @@ def op5(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query("op6_simhash_components")
+def op6(spark: SparkSession, base: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, base, "documents").select("doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 @query("op7_quality_rules")
 def op7(spark: SparkSession, base: str) -> DataFrame:
     return decision_list.quality_rules(table(spark, base, "documents"), table(spark, base, "labels"))
