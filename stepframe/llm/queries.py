@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, decontaminate, licenses, packing, simhash
+from . import chat, decision_list, decontaminate, licenses, packing, pii, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query("op3_url_rules")
+def op3(spark: SparkSession, base: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, base, "pages"))
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, base: str) -> DataFrame:
+    found = pii.find_pii(table(spark, base, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 @query("op5_benchmark_hits")
 def op5(spark: SparkSession, base: str) -> DataFrame:
     found = decontaminate.benchmark_hits(table(spark, base, "documents").select("doc_id", "text"), table(spark, base, "benchmark"))
