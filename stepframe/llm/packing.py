@@ -21,6 +21,8 @@ an empty result. Other columns of the input are not carried, so names cannot cla
 from __future__ import annotations
 
 import heapq
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,41 +38,83 @@ from .common import byte_slices, written
 CAPACITY = 4096
 #: pieces of one length that a task ranks
 RANK_ROWS = 1_000_000
-#: words whose ids a Python worker remembers (about 100 MB)
-REMEMBERED = 300_000
+#: words as written, and words in lower case without end marks, whose ids a Python worker remembers (about 150 MB)
+REMEMBERED, REMEMBERED_BASES = 600_000, 500_000
+END_MARKS = ".,!?;:"
 
-_TOKENIZERS: dict[str, tuple] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
-    return _TOKENIZERS[path]
-
+class WordEncoder:
+    """Ids of texts by their words, for tokenizers whose tokens never cross white space and drop it.
 
-def encode_all(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens.
-
-    For tokenizers whose tokens never cross white space and drop it: ids of a text are those of its words in a row, so
-    words met before are looked up. Words new in a batch go to the tokenizer together.
+    Ids of a text are then those of its words in a row, and words met before are looked up. A new word is looked up
+    again in lower case and without end marks; where that is not certain to give the same ids, the tokenizer is asked.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [x.split() if x.isascii() else _ascii_split(x) for x in texts]
-    new = list({w for words in split for w in words if w not in known})
-    fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False))} if new else {}
-    if len(known) + len(fresh) <= REMEMBERED:
-        known.update(fresh)
-        ids = known.__getitem__
-    else:
-        ids = lambda w: known.get(w) if w in known else fresh[w]
-    return [np.frombuffer(b"".join(map(ids, words)), "<u4") for words in split]
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def _ascii_split(text: str) -> list[str]:
-    """Words between spaces, tabs and line ends only: what counts as white space beyond these is the tokenizer's matter."""
-    return [w.decode() for w in text.encode().split()]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.known: dict[bytes, bytes] = {}
+        self.bases: dict[str, bytes] = {}
+        state = json.loads(self.tokenizer.to_str())
+        suffix = state["model"].get("end_of_word_suffix") or ""
+        # a lower-casing tokenizer gives a word and its lower case the same ids
+        self.lowers = any(x.get("type") == "Lowercase" for x in (state.get("normalizer") or {}).get("normalizers", []))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _parts(self, words: list[bytes]) -> list[tuple[str, str]]:
+        """Each word as letters and the end marks after them; ``(word, "")`` where that would not be certain."""
+        text = b"\n".join(words).decode()
+        low = text.lower()
+        # lower-casing a capital sigma depends on its place; other forms than NFC change in the tokenizer
+        if not self.lowers or "\u03a3" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+            return [(w, "") for w in text.split("\n")] if len(words) == 1 or not self.lowers else [p for w in words for p in self._parts([w])]
+        lines = low.split("\n")
+        bodies = [x.rstrip(END_MARKS) for x in lines]
+        return [(b, x[len(b) :]) if b.isalpha() else (w.decode(), "") for b, x, w in zip(bodies, lines, words)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words; those of letters only are one unit of the tokenizer each and go to it in one line."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()] if self.ends.any() else []
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                raw, cut = ids.tobytes(), (last * 4).tolist()
+                out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cut], cut))
+        rest = [w for w in words if w not in out]
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.batch(rest, add_special_tokens=False) if rest else []))
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        known, bases = self.known, self.bases
+        # split at spaces, tabs and line ends only: further white space is the tokenizer's matter
+        split = [x.split() for x in texts]
+        fresh = list({w for words in split for w in words if w not in known})
+        parts = self._parts(fresh) if fresh else []
+        learnt = self._learn(list({p for pair in parts for p in pair if p and p not in bases}))
+        bases.update(learnt)
+        known.update(zip(fresh, [bases[a] + bases[b] if b else bases[a] for a, b in parts]))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        for table, new, most in ((known, fresh, REMEMBERED), (bases, learnt, REMEMBERED_BASES)):
+            if len(table) > most:
+                for w in new:
+                    del table[w]
+        return out
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 _PIECE = T.StructType(
@@ -86,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         end = np.array([end_id], "<u4")
         for part, texts in byte_slices(batches, "text"):
             keys, out = part.column("doc_id"), ([], [], [], [], [], [])
-            for row, ids in enumerate(encode_all(tokenizer, [x.decode() for x in texts])):
+            for row, ids in enumerate(encoder(tokenizer).encode(texts)):
                 ids = np.concatenate([ids, end])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     data = ids[at : at + capacity]
