@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, decontaminate, licenses, packing, pii, quality_lm, simhash, url_rules
+from . import chat, decision_list, decontaminate, licenses, packing, pii, quality_lm, simhash, suffix_dedup, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, base: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, base, "documents").select("doc_id", "text")).drop("kept")
+
+
 @query("op2_quality_perplexity")
 def op2(spark: SparkSession, base: str) -> DataFrame:
     return quality_lm.quality_scores(table(spark, base, "documents"), table(spark, base, "labels")).drop("text_hash")
