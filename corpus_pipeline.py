@@ -7,7 +7,6 @@ columns of ``documents``; the last returns the pieces of the packed sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stepframe.llm import decontaminate, packing, pii, quality_lm, simhash
 from stepframe.llm.common import written
@@ -31,10 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and the terms that reveal it generalised; ``n_chars`` follows the text."""
-    clean = pii.sanitise(docs)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return clean
+    return pii.sanitise(docs, chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

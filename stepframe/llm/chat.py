@@ -62,13 +62,13 @@ CHAT = Template()
 
 
 def walk(roles: Column, template: Template = CHAT) -> Column:
-    """Struct ``state`` (null after a wrong move) and ``wrong`` (number of the first wrong turn, from 0, or null)."""
+    """Struct ``state`` (empty after a wrong move) and ``wrong`` (number of the first wrong turn, from 0, or null)."""
     moves = F.create_map(*[F.lit(x) for pair in template.moves.items() for x in pair])
     begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("wrong"))
 
     def step(now: Column, role: Column) -> Column:
-        to = F.try_element_at(moves, F.concat(now["state"], F.lit(">"), role))
-        return F.struct(to.alias("state"), (now["at"] + 1).alias("at"), F.coalesce(now["wrong"], F.when(to.isNull(), now["at"])).alias("wrong"))
+        to = F.coalesce(F.try_element_at(moves, F.concat(now["state"], F.lit(">"), role)), F.lit(""))
+        return F.struct(to.alias("state"), (now["at"] + 1).alias("at"), F.coalesce(now["wrong"], F.when(to == "", now["at"])).alias("wrong"))
 
     return F.aggregate(roles, begin, step)
 

@@ -40,3 +40,21 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(first), texts[first:]
 
 
+
+
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns called like one of ``names`` renamed out of the way, and what each is called now."""
+    taken, to = {c.lower() for c in docs.columns} | set(names), {}
+    for c in docs.columns:
+        if c.lower() in names:
+            new = f"{c}_own"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            to[c] = new
+    return docs.withColumnsRenamed(to), to
+
+
+def back(df: DataFrame, columns: list[str], to: dict[str, str]) -> DataFrame:
+    """``columns`` of ``df`` under the names they had before ``aside``."""
+    return df.select(*[F.col(to.get(c, c)).alias(c) for c in columns])

@@ -28,15 +28,15 @@ from .common import let, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"  # fixed values
-#: learnt features, from the columns of ``text_stats``
+#: learnt features, from the columns of ``quality_rules``' statistics
 FEATURES = {
-    "words": F.col("n_words").cast("double"),
-    "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    "symbol_share": F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)),
-    "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeat_share": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "upper_share": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "mark_share": F.col("n_marks") / F.greatest(F.col("n_words"), F.lit(1)),
+    "words": "double(n_words)",
+    "word_length": "word_chars / greatest(n_words, 1)",
+    "symbol_share": "n_symbols / greatest(n_words, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+    "upper_share": "n_upper / greatest(word_chars, 1)",
+    "mark_share": "n_marks / greatest(n_words, 1)",
 }
 
 
@@ -217,9 +217,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     stats = text_stats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "stats")
     stats = written(stats, "text-stats").select("doc_id", *[F.col(c).alias(n) for n, c in BASE.items()])
     marks = labels.where(F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.min(quality) == 0).cast("int").alias("bad"))
-    rows = stats.join(marks, "doc_id").select("bad", *[e.alias(f) for f, e in FEATURES.items()])
-    rules = learn(rows, list(FEATURES), **how)
+    features = {f: F.expr(e) for f, e in FEATURES.items()}
+    rows = stats.join(marks, "doc_id").select("bad", *[e.alias(f) for f, e in features.items()])
+    rules = learn(rows, list(features), **how)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    rule = decide(rules, FEATURES)
+    rule = decide(rules, features)
     out = stats.withColumn("base_failed", failed).withColumn("rule", rule)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")

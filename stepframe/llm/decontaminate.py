@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, written
+from .common import aside, back, byte_slices, written
 
 #: text of benchmark items in one automaton
 SHARD_BYTES = 8 << 20
@@ -269,14 +269,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("key"), F.col(item_text).cast("binary").alias("item")).where("item IS NOT NULL")
     size = items.agg(F.sum(F.length("item"))).head()[0] or 0
     shards = max(1, math.ceil(2 * size / shard_bytes)) if size > shard_bytes else 1
-    out = docs.drop("n_words", "n_hit", "hit_spans", "hit_items", "found")
+    out, to = aside(docs.drop("n_words", "n_hit", "hit_spans", "hit_items"), "found")
     for s in range(shards):
         part = items.where(F.pmod(F.xxhash64("key", "item"), F.lit(shards)) == s) if shards > 1 else items
         out = _pass(out, [(r.key, bytes(r.item)) for r in part.collect()], n, text)
         if s % SHARDS_PER_PASS == SHARDS_PER_PASS - 1 and s < shards - 1:
             out = written(out, "benchmark-hits")
     covered = F.aggregate("found.hit_spans", F.lit(0).cast("long"), lambda a, s: a + (s["last"] - s["first"]))
-    return out.select(*[c for c in out.columns if c != "found"], F.col("found.n_words").alias("n_words"), covered.alias("n_hit"), F.col("found.hit_spans").alias("hit_spans"), F.col("found.hit_items").alias("hit_items"))
+    own = [F.col(c).alias(next((old for old, new in to.items() if new == c), c)) for c in out.columns if c != "found"]
+    return out.select(*own, F.col("found.n_words").alias("n_words"), covered.alias("n_hit"), F.col("found.hit_spans").alias("hit_spans"), F.col("found.hit_items").alias("hit_items"))
 
 
 def contaminated(n_hit="n_hit", n_words="n_words", share: int = 20):
@@ -286,7 +287,8 @@ def contaminated(n_hit="n_hit", n_words="n_words", share: int = 20):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, as they are, with the columns of ``docs``."""
-    return benchmark_hits(docs, benchmark, n, text).where(~contaminated(share=share)).select(*docs.columns)
+    own, to = aside(docs, "n_words", "n_hit", "hit_spans", "hit_items")
+    return back(benchmark_hits(own, benchmark, n, text).where(~contaminated(share=share)), docs.columns, to)
 
 
 def cut_spans(hits: DataFrame, min_words: int = 13, text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import aside, back, let
 
 # fixed values: known licence sentences, normalised, by identifier
 SENTENCES = {
@@ -127,9 +127,10 @@ def match_rules(ids: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids``, ``licenses`` (in the order of the rules) and ``open_ids``."""
-    ids = sentence_ids(F.coalesce(F.col(text), F.lit("")))
-    found = docs.withColumn("sentence_ids", ids)
+    own, to = aside(docs, "scan")
+    found = own.withColumn("sentence_ids", sentence_ids(F.coalesce(F.col(text), F.lit(""))))
     scanned = found.withColumn("scan", F.when(F.size("sentence_ids") > 0, match_rules(F.col("sentence_ids"))))
-    return scanned.withColumns(
-        {"licenses": F.coalesce("scan.licenses", F.array().cast("array<struct<license:string,kind:string,times:int>>")), "open_ids": F.coalesce("scan.open", F.array().cast("array<string>"))}
-    ).drop("scan")
+    licenses = F.coalesce("scan.licenses", F.array().cast("array<struct<license:string,kind:string,times:int>>"))
+    scanned = scanned.withColumns({"licenses": licenses, "open_ids": F.coalesce("scan.open", F.array().cast("array<string>"))})
+    results = ["sentence_ids", "licenses", "open_ids"]
+    return back(scanned, [*[c for c in docs.columns if c.lower() not in results], *results], to)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import aside, back, let, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -141,8 +141,9 @@ def find_pii(docs: DataFrame, text: str = "text", disclosure: float = 0.9, conte
     out = docs.withColumn("base", base_spans(value))
     if found is None:
         return out.withColumn("spans", F.col("base"))
-    out = out.withColumn("text_hash", F.xxhash64(value)).join(found[0], "text_hash", "left")
-    return out.withColumn("spans", _with_terms(F.col("base"), value, F.col("terms"))).drop("text_hash", "terms")
+    own, to = aside(out, "text_hash", "terms")
+    own = own.withColumn("text_hash", F.xxhash64(value)).join(found[0], "text_hash", "left").withColumn("spans", _with_terms(F.col("base"), value, F.col("terms")))
+    return back(own, [*[c for c in out.columns if c.lower() != "spans"], "spans"], to)
 
 
 def span_text(spans: Column) -> Column:
@@ -168,7 +169,11 @@ def sanitised(text: Column, spans: Column, generalise: bool = True) -> Column:
     return F.when(F.size(spans) > 0, let(text, of)).otherwise(text)
 
 
-def sanitise(docs: DataFrame, text: str = "text", generalise: bool = True, **how) -> DataFrame:
-    """All documents, with their spans generalised or removed; columns of ``docs``."""
-    found = find_pii(docs, text, **how)
-    return found.withColumn(text, sanitised(F.col(text), F.col("spans"), generalise)).select(*docs.columns)
+def sanitise(docs: DataFrame, text: str = "text", generalise: bool = True, chars: str | None = None, **how) -> DataFrame:
+    """All documents, with their spans generalised or removed; columns of ``docs``. ``chars`` counts the text's letters
+    and follows where the text changes."""
+    own, to = aside(docs, "base", "spans")
+    found = find_pii(own, text, **how).withColumn(text, sanitised(F.col(text), F.col("spans"), generalise))
+    if chars:
+        found = found.withColumn(chars, F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col(chars)).cast(docs.schema[chars].dataType))
+    return back(found, docs.columns, to)
