@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,18 +40,36 @@ def sections(df: DataFrame, text: str = "text", min_chars: int = MIN_SECTION) ->
     )
 
 
-def _cuts(text: str, size: int, overlap: int, keep_tail: bool) -> list[str]:
-    found, start, n = [], 0, len(text)
-    while start < n:
-        end = start + size
-        if end < n:
-            blank, newline = text.rfind("\n\n", start, end), text.rfind("\n", start, end)
-            end = blank if blank > start else newline if newline > start else end
-        found.append(text[start:end].strip())
-        if end >= n and not keep_tail:
-            break
-        start = end - overlap if end - overlap > start else end
-    return [c for c in found if c]
+class _Breaks:
+    """All places of a text where one kind of break begins, in order."""
+
+    def __init__(self, text: str, mark: str):
+        self.width = len(mark)
+        self.places = [m.start() for m in re.finditer(f"(?={re.escape(mark)})", text)]
+
+    def last(self, after: int, until: int) -> int | None:
+        """The last one that begins after ``after`` and is over by ``until``."""
+        k = bisect.bisect_right(self.places, until - self.width) - 1
+        return self.places[k] if k >= 0 and self.places[k] > after else None
+
+
+def _pieces(text: str, size: int, overlap: int, keep_tail: bool) -> Iterator[slice]:
+    """Stretches of at most ``size`` characters that end at the best break inside."""
+    kinds = [_Breaks(text, mark) for mark in ("\n\n", "\n")]
+    piece = slice(0, 0)
+    while keep_tail or not text or piece.stop < len(text):
+        # the overlap is given up where it would not move forward
+        begin = piece.stop - overlap if piece.stop - overlap > piece.start else piece.stop
+        if begin >= len(text):
+            return
+        limit = begin + size
+        found = (b.last(begin, limit) for b in kinds) if limit < len(text) else ()
+        piece = slice(begin, next((p for p in found if p is not None), limit))
+        yield piece
+
+
+def _chunks_of(text: str, size: int, overlap: int, keep_tail: bool) -> list[str]:
+    return [c for c in (text[p].strip() for p in _pieces(text, size, overlap, keep_tail)) if c]
 
 
 def size_chunks(
@@ -70,7 +90,7 @@ def size_chunks(
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else _cuts(t, size, overlap, keep_tail))
+            yield texts.map(lambda t: None if t is None else _chunks_of(t, size, overlap, keep_tail))
 
     # one pass: the Python worker sees long texts only, a short text is one chunk as it is
     rows = fan_out(df).withColumn("__long", split(F.when(F.length(text) > size, F.col(text))))

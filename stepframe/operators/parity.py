@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,24 +249,17 @@ def _icon(status: Column) -> Column:
     return expr
 
 
-def notes(checks: DataFrame, by, max_checks: int = 900) -> DataFrame:
+def notes(checks: DataFrame, by) -> DataFrame:
     """Failed, then warned details of a block joined by `` | ``.
 
-    A block has a fixed list of checks. Should one have more than ``max_checks`` findings the job
-    fails with a message; use ``report`` then, which has one row per finding.
+    The notes of a block are one text, from its fixed list of checks; ``report`` has a row per finding.
     """
     by = [by] if isinstance(by, str) else list(by)
     severity = F.when(F.col("status") == "fail", 0).when(F.col("status") == "warning", 1)
     bad = checks.withColumn("__s", severity).where(F.col("__s").isNotNull())
     order = F.struct("__s", "name", "detail")
-    w = Window.partitionBy(*by).orderBy("__s", "name", "detail")
-    bounded = bad.withColumn("__no", F.row_number().over(w)).where(F.col("__no") <= max_checks + 1)
     found = F.array_sort(F.collect_list(order))
-    return bounded.groupBy(*by).agg(
-        F.when(F.size(found) > max_checks, F.raise_error(F.lit("too many findings for one text")))
-        .otherwise(F.array_join(F.transform(found, lambda x: x.getField("detail")), " | "))
-        .alias("notes")
-    )
+    return bad.groupBy(*by).agg(F.array_join(F.transform(found, lambda x: x.getField("detail")), " | ").alias("notes"))
 
 
 def report(

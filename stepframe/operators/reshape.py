@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .keys import as_list
 from .spread import fan_out
 
@@ -50,6 +51,12 @@ def expand_range(df: DataFrame, first: Column, last: Column, name: str = "i") ->
     return ok.withColumn(name, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
 
 
+#: rounds that a loop makes before its unfinished rows are carried on
+BLOCK_STEPS = 32
+#: rounds after which a loop counts as endless
+ENDLESS = 10_000_000
+
+
 def generate(
     df: DataFrame,
     state: Mapping[str, Column],
@@ -57,38 +64,57 @@ def generate(
     step: Callable[[Column], Mapping[str, Column]],
     until: bool = False,
     output: str = "after",
-    max_steps: int = 1_000,
+    max_steps: int = ENDLESS,
+    block: int = BLOCK_STEPS,
 ) -> DataFrame:
     """Rows from a loop over each input row's own state.
 
     ``state`` gives the start values, ``step(s)`` the next ones. ``cond`` is tested before each
     round (DO WHILE) or, with ``until=True``, after it and ends the loop (DO UNTIL, at least one
     row). ``output="after"`` emits the state after the step, ``"before"`` the one before it. The
-    output has the input columns, the state columns and ``step_no``. A loop that has not ended
-    after ``max_steps`` rounds fails; nothing is cut off silently.
+    output has the input columns, the state columns and ``step_no``.
+
+    Rounds are made in blocks of ``block``: the states of a block are written to the shared folder, rows whose loop
+    has not ended start the next block from their last state, and blocks follow until no row is left. So a loop may
+    be as long as it likes; one that has not ended after ``max_steps`` rounds is taken for endless and fails.
     """
     fields = list(state)
+    own = [c for c in df.columns if c not in fields]
     probe = df.select(F.struct(*[state[f].alias(f) for f in fields]).alias("s")).schema["s"].dataType
     kind = probe.simpleString()
-    start = F.struct(*[state[f].alias(f) for f in fields]).cast(kind)
+    spark = df.sparkSession
 
-    def ended(acc: Column) -> Column:
-        met = F.coalesce(cond(F.element_at(acc, -1)), F.lit(False))
-        return (F.size(acc) > 1) & met if until else ~met
+    def over(s: Column) -> Column:
+        met = F.coalesce(cond(s), F.lit(False))
+        return met if until else ~met
 
     def grow(acc: Column, _i: Column) -> Column:
         last = F.element_at(acc, -1)
         new = step(last)
         nxt = F.struct(*[(new[f] if f in new else last.getField(f)).alias(f) for f in fields]).cast(kind)
-        return F.when(ended(acc), acc).otherwise(F.concat(acc, F.array(nxt)))
-
-    def emit(acc: Column) -> Column:
-        # the array holds the start state and one state per round
-        made = F.slice(acc, 2 if output == "after" else 1, F.size(acc) - 1)
-        late = F.raise_error(F.lit(f"loop not finished after {max_steps} steps")).cast(f"array<{kind}>")
-        return F.when(ended(acc), made).otherwise(late)
-
-    made = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), F.array(start), grow, emit)
-    out = fan_out(df).select("*", F.posexplode(made).alias("__pos", "__s"))
-    kept = [c for c in df.columns if c not in fields]
-    return out.select(*kept, *[F.col("__s")[f].alias(f) for f in fields], (F.col("__pos") + 1).cast("bigint").alias("step_no"))
+        # a loop that tests after the round makes its first round in any case
+        stops = (F.size(acc) > 1) & over(last) if until else over(last)
+        return F.when(stops, acc).otherwise(F.concat(acc, F.array(nxt)))
+
+    live = fan_out(df).select(F.struct(*own).alias("__own") if own else F.lit(0).alias("__own"), F.struct(*[state[f].alias(f) for f in fields]).cast(kind).alias("__s"))
+    blocks, done = [], 0
+    while True:
+        rounds = min(block, max_steps - done)
+        states = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array("__s"), grow)
+        path = scratch_path(spark, "loop")
+        live.select("__own", states.alias("__states")).write.parquet(path)
+        made = spark.read.parquet(path)
+        # the array holds the state the block began with and one state per round
+        shown = F.slice("__states", 2 if output == "after" else 1, F.size("__states") - 1)
+        blocks.append(made.select("__own", F.posexplode(shown).alias("__pos", "__s")).withColumn("step_no", (F.col("__pos") + done + 1).cast("bigint")))
+        done += rounds
+        last = F.element_at("__states", -1)
+        live = made.where((F.size("__states") == rounds + 1) & ~over(last)).select("__own", last.alias("__s"))
+        if live.isEmpty():
+            break
+        if done >= max_steps:
+            raise RuntimeError(f"loop not finished after {max_steps} steps")
+    out = blocks[0]
+    for more in blocks[1:]:
+        out = out.unionByName(more)
+    return out.select(*[F.col("__own").getField(c).alias(c) for c in own], *[F.col("__s").getField(f).alias(f) for f in fields], "step_no")

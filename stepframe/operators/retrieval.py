@@ -230,12 +230,11 @@ def context(
     source: str = "source",
     pattern: str = "pattern_name",
     text: str = "text",
-    k: int = TOP_K,
     name: str = "context",
 ) -> DataFrame:
-    """One text per query from its ranked hits, with a numbered heading for each.
+    """One text per query from all its ranked hits, with a numbered heading for each.
 
-    Takes the ``k`` first hits of a query, so at most k texts ever meet in one group.
+    How many texts meet in one group is what the caller asked ``nearest`` for.
     """
     label = F.concat(
         F.lit("Pattern "), F.col(rank).cast("string"),
@@ -243,9 +242,8 @@ def context(
         F.when(F.coalesce(F.col(pattern), F.lit("")) != "", F.concat(F.lit(": "), F.col(pattern))).otherwise(""),
     )
     piece = F.concat(label, F.lit("\n"), strip(F.col(text)), F.lit("\n"))
-    bounded = hits.where(F.col(rank) <= k)
     return (
-        bounded.groupBy(key, kind)
+        hits.groupBy(key, kind)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), piece.alias("t")))).alias("__p"))
         .select(
             key,

@@ -75,13 +75,11 @@ def means(
             for s in quantiles
         ]
         q = q.select(*by, *picks)
-        if aggs:
-            out = (df.groupBy(*by) if by else df).agg(*aggs)
-            right = q.withColumnsRenamed({b: f"__g_{b}" for b in by})
-            on = same_keys((F.col(b), F.col(f"__g_{b}")) for b in by)
-            out = out.join(right, on, "left").drop(*[f"__g_{b}" for b in by])
-        else:
-            out = q
+        # always from the list of groups: one whose values are all missing has no quantile, but is a group
+        out = (df.groupBy(*by) if by else df).agg(*(aggs or [F.count(F.lit(1)).alias("__rows")]))
+        right = q.withColumnsRenamed({b: f"__g_{b}" for b in by})
+        on = same_keys((F.col(b), F.col(f"__g_{b}")) for b in by)
+        out = out.join(right, on, "left").drop(*[f"__g_{b}" for b in by])
     else:
         out = (df.groupBy(*by) if by else df).agg(*aggs)
     out = out.select(*by, *[named[s][i] for i in range(len(vars)) for s in stats])
@@ -159,19 +157,14 @@ def freq(
     return table.select(rows, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in table.columns if c != rows])
 
 
-def into_list(df: DataFrame, col: str, sep: str, max_items: int = 100_000) -> Column:
+def into_list(df: DataFrame, col: str, sep: str) -> Column:
     """Distinct values, sorted and joined into one text; a scalar for any later step.
 
-    Meant for names and other metadata. At most ``max_items + 1`` values are gathered; when there
-    are more the job fails with a message instead of shortening the list.
+    The text is one value, so it is meant for names and other metadata; for values without such a
+    bound take ``df.select(col).distinct()``, which stays a table.
     """
     values = df.select(F.col(col).cast("string").alias("v")).where("v IS NOT NULL").distinct()
-    found = F.array_sort(F.collect_list("v"))
-    text = F.when(
-        F.size(found) > max_items,
-        F.raise_error(F.lit(f"more than {max_items} distinct values of {col} for one list")),
-    ).otherwise(F.array_join(found, sep))
-    return values.limit(max_items + 1).agg(text).scalar()
+    return values.agg(F.array_join(F.array_sort(F.collect_list("v")), sep)).scalar()
 
 
 def nth_highest(df: DataFrame, col: str, n: int, name: str = "nth_highest") -> DataFrame:

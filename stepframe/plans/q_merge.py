@@ -106,13 +106,13 @@ def merge_rename(t):
 @query(
     "merge_one_to_many",
     """SELECT coalesce(c_custkey, o_custkey) AS custkey, c_name, c_mktsegment, o_orderkey, o_totalprice
-       FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P')
+       FROM customer FULL JOIN (SELECT * REPLACE (o_custkey + o_orderkey % 3 * 100000000 AS o_custkey) FROM orders)
        ON c_custkey = o_custkey""",
 )
 def merge_one_to_many(t):
-    one = t.customer.where("c_acctbal > 0").select(c("c_custkey").alias("custkey"), "c_name", "c_mktsegment")
-    many = t.orders.where("o_orderstatus <> 'P'").select(
-        c("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice"
+    one = t.customer.select(c("c_custkey").alias("custkey"), "c_name", "c_mktsegment")
+    many = t.orders.select(
+        (c("o_custkey") + c("o_orderkey") % 3 * 100000000).alias("custkey"), "o_orderkey", "o_totalprice"
     )
     return sf.merge([one, many], "custkey")
 
@@ -146,12 +146,11 @@ def merge_condition(t):
 @query(
     "sql_join",
     """SELECT o_orderkey, c_name, n_name, o_totalprice FROM orders
-       JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-       WHERE o_totalprice > 300000""",
+       JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
 )
 def sql_join(t):
     return (
-        t.orders.where("o_totalprice > 300000")
+        t.orders
         .join(t.customer, c("o_custkey") == c("c_custkey"))
         .join(t.nation, c("c_nationkey") == c("n_nationkey"))
         .select("o_orderkey", "c_name", "n_name", "o_totalprice")

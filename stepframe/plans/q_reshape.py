@@ -75,7 +75,6 @@ def do_while_rows(t):
         cond=lambda s: s["x"] < 20,
         step=lambda s: {"x": s["x"] + 1},
         output="before",
-        max_steps=64,
     )
     return made.select("p_partkey", "x")
 
@@ -92,7 +91,6 @@ def do_until_rows(t):
         step=lambda s: {"x": s["x"] + 1},
         until=True,
         output="before",
-        max_steps=64,
     )
     return made.select("p_partkey", "x")
 
@@ -125,7 +123,6 @@ def payment_schedule(t):
         },
         cond=lambda s: s["balance"] > 0,
         step=pay,
-        max_steps=60,
     )
     return made.select("o_orderkey", c("step_no").alias("month"), "balance", "interest")
 
@@ -134,19 +131,17 @@ def payment_schedule(t):
     "compound_growth",
     """WITH RECURSIVE g AS (
          SELECT c_custkey, 1::BIGINT AS years, c_acctbal * 1.07 AS amount, c_acctbal * 2 AS target FROM customer
-         WHERE c_acctbal > 0
          UNION ALL
          SELECT c_custkey, years + 1, amount * 1.07, target FROM g WHERE NOT amount >= target)
        SELECT c_custkey, years, amount FROM g""",
 )
 def compound_growth(t):
-    funds = t.customer.where("c_acctbal > 0").select("c_custkey", "c_acctbal")
+    funds = t.customer.select("c_custkey", "c_acctbal")
     made = sf.generate(
         funds,
         {"amount": c("c_acctbal"), "target": c("c_acctbal") * 2},
         cond=lambda s: s["amount"] >= s["target"],
         step=lambda s: {"amount": s["amount"] * 1.07},
         until=True,
-        max_steps=20,
     )
     return made.select("c_custkey", c("step_no").alias("years"), "amount")

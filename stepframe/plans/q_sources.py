@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 import stepframe as sf
@@ -12,11 +14,14 @@ from .registry import query
 c = F.col
 
 
-@query("save_roundtrip", "SELECT o_orderkey, o_totalprice * 2 AS double_price FROM orders WHERE o_orderstatus = 'P'")
+@query("save_roundtrip", "SELECT o_orderkey, o_totalprice * 2 AS double_price FROM orders")
 def save_roundtrip(t):
-    made = t.orders.where("o_orderstatus = 'P'").select("o_orderkey", (c("o_totalprice") * 2).alias("double_price"))
-    sf.save(made, "stepframe_saved_orders")
-    return sf.read(t.spark, "stepframe_saved_orders")
+    made = t.orders.select("o_orderkey", (c("o_totalprice") * 2).alias("double_price"))
+    # a stored table under a two-level name, whose files are in the shared folder
+    t.spark.sql(f"CREATE DATABASE IF NOT EXISTS stepframe_saved LOCATION '{sf.scratch_path(t.spark, 'database')}'")
+    name = f"stepframe_saved.orders_{uuid.uuid4().hex}"
+    sf.save(made, name, table=True)
+    return sf.read(t.spark, name)
 
 
 @query(

@@ -160,15 +160,18 @@ def freq_twoway(t):
     return sf.freq(classed(t), ["kind", "l_linestatus"], include_missing=True)
 
 
+#: all types of ``part``, and one that it does not have
+PART_TYPES = ["ECONOMY", "SMALL", "LARGE", "MEDIUM", "STANDARD", "PROMO", "NONE"]
+
+
 @query(
     "freq_crosstab",
-    """SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS "ECONOMY", count(*) FILTER (p_type = 'SMALL') AS "SMALL",
-              count(*) FILTER (p_type = 'LARGE') AS "LARGE", count(*) FILTER (p_type = 'NONE') AS "NONE"
-       FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'LARGE', 'NONE') GROUP BY p_brand""",
+    "SELECT p_brand, "
+    + ", ".join(f"count(*) FILTER (p_type = '{k}') AS \"{k}\"" for k in PART_TYPES)
+    + " FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL GROUP BY p_brand",
 )
 def freq_crosstab(t):
-    kinds = ["ECONOMY", "SMALL", "LARGE", "NONE"]
-    return sf.freq(t.part.where(c("p_type").isin(kinds)), ["p_brand", "p_type"], wide=True, values=kinds)
+    return sf.freq(t.part, ["p_brand", "p_type"], wide=True, values=PART_TYPES)
 
 
 @query(

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_KEY = ("filepath", "section_index", "chunk_index")
+#: what the reader puts for an unquoted empty field; anything that a field cannot be will do
+_NO_TEXT = "\x00missing\x00"
 
 
 def import_csv(spark: SparkSession, path: str, schema, header: bool = True, sep: str = ",") -> DataFrame:
-    """Delimited file with a declared schema; no extra pass to guess types."""
-    return spark.read.csv(path, schema=schema, header=header, sep=sep, escape='"', multiLine=False)
+    """Delimited file with a declared schema; no extra pass to guess types.
+
+    A field may hold line ends. An empty field is missing, a quoted empty one is empty text. A record that does not
+    fit the schema is an error.
+    """
+    return spark.read.csv(
+        path, schema=schema, header=header, sep=sep, escape='"', multiLine=True, mode="FAILFAST",
+        nullValue=_NO_TEXT, emptyValue="",
+    )
 
 
 def export(frames: Mapping[str, DataFrame], path: str, fmt: str = "csv") -> list[str]:
@@ -23,7 +33,8 @@ def export(frames: Mapping[str, DataFrame], path: str, fmt: str = "csv") -> list
         target = f"{path.rstrip('/')}/{name}"
         writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer.csv(target, header=True, escape='"')
+            # blanks around a field belong to it; a lone carriage return would be read as a line end
+            writer.csv(target, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quoteAll=False)
         else:
             writer.format(fmt).save(target)
         written.append(target)
@@ -68,21 +79,35 @@ def read_texts(spark: SparkSession, path: str, suffixes: Sequence[str] = (".md",
 
 
 def save_chunks(df: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
-    """Add chunks to the collection at ``path`` (or rebuild it) and return the collection.
+    """Add the documents of ``df`` to the collection at ``path`` (or rebuild it) and return the collection.
 
-    A chunk is known by (filepath, section_index, chunk_index): a second run over the same files
-    adds nothing. Only the key columns of the stored collection are read for that.
+    A delivered document replaces all chunks that the collection holds of it, so changed texts and documents that
+    became shorter are refreshed. Each call writes only what it delivers, under the next version number; reading
+    takes the latest version of each ``filepath`` (a missing one counts as a name of its own). Of rows with the same
+    key the one with the smallest text is kept. One writer at a time.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates(list(CHUNK_KEY))
-    if rebuild or not _exists(spark, path):
-        fresh.write.mode("overwrite").parquet(path)
-    else:
-        known = spark.read.parquet(path).select(*CHUNK_KEY)
-        fresh.join(known, list(CHUNK_KEY), "left_anti").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    w = Window.partitionBy(*CHUNK_KEY).orderBy("text", *[c for c in df.columns if c not in (*CHUNK_KEY, "text")])
+    fresh = df.withColumn("__no", F.row_number().over(w)).where("__no = 1").drop("__no")
+    stored = None if rebuild else _stored(spark, path)
+    version = 1 if stored is None else (stored.agg(F.max("__version")).head()[0] or 0) + 1
+    numbered = fresh.withColumn("__version", F.lit(version))
+    numbered.write.mode("overwrite" if rebuild else "append").partitionBy("__version").parquet(path)
+    return read_chunks(spark, path, df.columns)
+
+
+def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The latest version of every document of a chunk collection."""
+    stored = spark.read.parquet(path)
+    latest = stored.groupBy("filepath").agg(F.max("__version").alias("__latest")).withColumnRenamed("filepath", "__file")
+    same = stored["filepath"].eqNullSafe(latest["__file"]) & (stored["__version"] == latest["__latest"])
+    return stored.join(latest, same, "left_semi").select(*(columns or [c for c in stored.columns if c != "__version"]))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -1,6 +1,5 @@
 import pytest
 from conftest import rows
-from pyspark.errors import PySparkException
 
 import stepframe as sf
 
@@ -64,8 +63,6 @@ def test_notes_and_report(spark):
         "block_no int, name string, status string, detail string",
     )
     assert rows(sf.notes(checks, "block_no")) == [(1, "g | f | w")]
-    with pytest.raises(PySparkException, match="too many findings"):
-        sf.notes(checks, "block_no", max_checks=2).collect()
     blocks = sf.rollup(checks, "block_no").join(
         spark.createDataFrame([(1, "data_step", "out"), (2, "proc_sql", None)], "block_no int, block_type string, output_dataset string"),
         "block_no",
