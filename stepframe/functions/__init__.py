@@ -10,5 +10,5 @@ from .strings import (  # noqa: F401
     cats, catx, chars, join_parts, length, overwrite, overwrite_all, scan, substr, upcase,
 )
 from .textscan import (  # noqa: F401
-    TAG_RULES, lines, marker_lines, match_count, pairs, placeholders, strip, tag,
+    TAG_RULES, lines, marker_lines, match_count, pairs, placeholders, strip, tag, unresolved,
 )

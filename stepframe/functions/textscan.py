@@ -27,12 +27,24 @@ def match_count(c: Column, pattern: str, ignore_case: bool = True, multiline: bo
     return F.regexp_count(c, F.lit(f"(?{flags}){pattern}" if flags else pattern)).cast("bigint")
 
 
+def _definition(keyword: str) -> str:
+    # Fixed value: how a text defines a name.
+    return rf"(?i){keyword}\s+({WORD}+)\s*=\s*([^;]+);"
+
+
+def unresolved(c: Column, keyword: str = "%let") -> Column:
+    """Placeholders that the text itself does not define, sorted; case is ignored."""
+    defined = F.transform(F.regexp_extract_all(c, F.lit(_definition(keyword)), F.lit(1)), lambda x: F.concat(F.lit("&"), F.lower(x)))
+    # the one-entry array binds the definitions once
+    return F.get(F.transform(F.array(defined), lambda d: F.filter(placeholders(c), lambda x: ~F.array_contains(d, F.lower(x)))), F.lit(0))
+
+
 def pairs(df: DataFrame, key, c: str, keyword: str = "%let") -> DataFrame:
     """``%let name = value;`` definitions as rows (key, name, value); the last one wins.
 
     A name occurs once per text and round of ``max_by``, so only (key, name) groups are shuffled.
     """
-    pattern = rf"(?i){keyword}\s+(\w+)\s*=\s*([^;]+);"
+    pattern = _definition(keyword)
     names = F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(1))
     values = F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(2))
     rows = df.select(key, F.posexplode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("pos", "d"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.logic import BANDS_LONG, BELOW_BANDS_LONG, band
 from .chunking import line_marks
-from .ordered import row_number
+from .ordered import row_index, row_number
 
 STATUSES = ("pass", "fail", "warning", "skipped")
 
@@ -269,12 +269,14 @@ def report(
     kind: str = "block_type",
     dataset: str = "output_dataset",
     title: str = "# Data parity report",
+    todos: DataFrame | None = None,
 ) -> DataFrame:
     """The report as lines (part, block_no, line_no, line); sort by the first three to print it.
 
-    Part 1 is the summary, part 2 has a heading per block followed by one line per finding, part 3
-    the recommendations. Lines stay rows, so a report over very many blocks is written in parallel
-    like any other table instead of being put together in one place.
+    Part 1 is the summary, part 2 has a heading per block followed by one line per finding and the
+    number of its TODO items, part 3 lists the different TODO items in the order they first occur,
+    part 4 the recommendations per block. ``todos`` are marked lines (block_no, line_no, line). Lines
+    stay rows, so a report over very many blocks is written in parallel like any other table.
     """
     card = scorecard(blocks)
     score_text = F.format_string("%.2f", F.col("overall_score"))
@@ -316,11 +318,37 @@ def report(
         F.lit(2).alias("part"), number, "line_no",
         F.concat(F.lit("- "), F.col("__level"), F.lit(": "), F.col("detail")).alias("line"),
     )
-    advice = row_number(
-        recommendations(checks).select(block_no, "name", "advice"), block_no, ["name", "advice"], "line_no"
+    out = top.unionByName(headings).unionByName(passed).unionByName(findings)
+    section = lambda part, line_no, line, df=card: df.select(
+        F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("block_no"), F.lit(line_no).cast("bigint").alias("line_no"), F.lit(line).alias("line")
     )
-    tips = advice.select(
-        F.lit(3).alias("part"), number, "line_no",
-        F.concat(F.lit("- Block "), F.col(block_no).cast("string"), F.lit(": "), F.col("advice")).alias("line"),
+    out = out.unionByName(section(3, 0, "## TODO items (across all blocks)"))
+    if todos is None:
+        out = out.unionByName(section(3, 1, "(none)"))
+    else:
+        many = todos.groupBy(block_no).agg(F.count(F.lit(1)).alias("__todos"))
+        above = bad.groupBy(block_no).agg(F.count(F.lit(1)).cast("bigint").alias("__above"))
+        counted = blocks.select(block_no, "status").join(many, block_no).join(above, block_no, "left")
+        after = F.greatest(F.coalesce("__above", F.lit(0)), (F.col("status") == "pass").cast("bigint")) + 1
+        items = counted.select(
+            F.lit(2).alias("part"), number, after.alias("line_no"),
+            F.concat(F.lit("- INFO: "), F.col("__todos").cast("string"), F.lit(" TODO item(s) logged")).alias("line"),
+        )
+        first = todos.groupBy("line").agg(F.min(F.struct(F.col(block_no).alias("b"), F.col("line_no").alias("n"))).alias("__at"))
+        listed = row_index(first.select("line", F.col("__at.b").alias("__b"), F.col("__at.n").alias("__n")), ["__b", "__n", "line"], "line_no", ties=False)
+        listed = listed.select(
+            F.lit(3).alias("part"), F.lit(0).cast("bigint").alias("block_no"), "line_no",
+            F.concat(F.col("line_no").cast("string"), F.lit(". "), F.col("line")).alias("line"),
+        )
+        none = section(3, 1, "(none)", todos.agg(F.count(F.lit(1)).alias("n")).where("n = 0"))
+        out = out.unionByName(items).unionByName(listed).unionByName(none)
+    each = recommendations(checks).groupBy(block_no).agg(F.array_sort(F.collect_list(F.struct("name", "advice"))).alias("__advice"))
+    tips = each.join(blocks.select(block_no, kind, dataset), block_no).select(
+        F.lit(4).alias("part"), number, F.lit(1).cast("bigint").alias("line_no"),
+        F.concat(
+            F.lit("- Block "), F.col(block_no).cast("string"), F.lit(" ("), F.col(kind), F.lit(" → "), F.coalesce(F.col(dataset), F.lit("?")), F.lit("): "),
+            F.array_join(F.transform("__advice", lambda x: x["advice"]), " | "),
+        ).alias("line"),
     )
-    return top.unionByName(headings).unionByName(passed).unionByName(findings).unionByName(tips)
+    quiet = section(4, 1, "No specific recommendations — review any warnings above.", recommendations(checks).agg(F.count(F.lit(1)).alias("n")).where("n = 0"))
+    return out.unionByName(section(4, 0, "## Recommendations")).unionByName(tips).unionByName(quiet)

@@ -220,7 +220,10 @@ def block_notes(t):
         s AS (SELECT count(*) AS total, count(*) FILTER (status = 'pass') AS p, count(*) FILTER (status = 'fail') AS f,
                      count(*) FILTER (status = 'warning') AS w, count(*) FILTER (status = 'skipped') AS k,
                      round(coalesce(avg(coverage_score) FILTER (status <> 'skipped'), 0), 4) AS o FROM b),
-        c AS (FROM {CHECKS})
+        c AS (FROM {CHECKS}),
+        t AS (SELECT block_no, line, line_no FROM (
+                SELECT doc_id AS block_no, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS line, generate_subscripts(l, 1)::BIGINT AS line_no
+                FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE starts_with(line, 'In '))
         SELECT 1 AS part, 0::BIGINT AS block_no, i::BIGINT AS line_no, CASE i WHEN 0 THEN '# Data parity report'
             WHEN 1 THEN 'Overall score: ' || printf('%.2f', o) || ' — ' || CASE WHEN o >= 0.9 THEN 'Ready — safe to use'
                  WHEN o >= 0.7 THEN 'Review recommended' WHEN o >= 0.5 THEN 'Manual review required' ELSE 'Conversion failed' END
@@ -233,10 +236,16 @@ def block_notes(t):
         SELECT 2, block_no, 1, 'All checks passed.' FROM b WHERE status = 'pass' UNION ALL
         SELECT 2, block_no, row_number() OVER (PARTITION BY block_no ORDER BY name, detail),
             '- ' || CASE status WHEN 'fail' THEN 'FAIL' ELSE 'WARN' END || ': ' || detail FROM c WHERE status IN ('fail', 'warning') UNION ALL
-        SELECT 3, block_no, row_number() OVER (PARTITION BY block_no ORDER BY name), '- Block ' || block_no || ': '
-            || CASE name WHEN 'no_unresolved_macros' THEN 'Run /macro-resolve before re-converting.'
-               ELSE 'Add .copy() after boolean filters to avoid SettingWithCopyWarning.' END FROM c
-        WHERE (name = 'no_unresolved_macros' AND status = 'fail') OR (name = 'uses_copy' AND status = 'warning')""",
+        SELECT 2, t.block_no, greatest(any_value(b.bad), (any_value(b.status) = 'pass')::BIGINT) + 1, '- INFO: ' || count(*) || ' TODO item(s) logged'
+            FROM t JOIN (SELECT *, (SELECT count(*) FROM c WHERE c.block_no = b.block_no AND c.status IN ('fail', 'warning')) AS bad FROM b) b
+            ON t.block_no = b.block_no GROUP BY t.block_no UNION ALL
+        SELECT 3, 0, 0, '## TODO items (across all blocks)' UNION ALL
+        SELECT 3, 0, k, k || '. ' || line FROM (SELECT line, row_number() OVER (ORDER BY min((block_no, line_no))) AS k FROM t GROUP BY line) UNION ALL
+        SELECT 4, 0, 0, '## Recommendations' UNION ALL
+        SELECT 4, c.block_no, 1, '- Block ' || c.block_no || ' (' || any_value(block_type) || ' → ' || coalesce(any_value(output_dataset), '?') || '): '
+            || string_agg(CASE name WHEN 'no_unresolved_macros' THEN 'Run /macro-resolve before re-converting.'
+               ELSE 'Add .copy() after boolean filters to avoid SettingWithCopyWarning.' END, ' | ' ORDER BY name) FROM c JOIN b ON c.block_no = b.block_no
+        WHERE (name = 'no_unresolved_macros' AND c.status = 'fail') OR (name = 'uses_copy' AND c.status = 'warning') GROUP BY c.block_no""",
 )
 def report_text(t):
     rows = checks(t)
@@ -244,4 +253,5 @@ def report_text(t):
         c("doc_id").alias("block_no"), c("lang").alias("block_type"),
         F.when(c("doc_id") % 5 != 0, c("source")).alias("output_dataset"),
     )
-    return sf.report(sf.rollup(rows, "block_no").join(names, "block_no"), rows)
+    todos = sf.marker_lines(t.documents.select(c("doc_id").alias("block_no"), "text"), "text", "In ")
+    return sf.report(sf.rollup(rows, "block_no").join(names, "block_no"), rows, todos=todos)

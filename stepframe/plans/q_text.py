@@ -46,6 +46,19 @@ def let_pairs(t):
     return sf.pairs(t.part.select("p_partkey", text.alias("code")), "p_partkey", "code")
 
 
+@query(
+    "unresolved_names",
+    """SELECT p_partkey, CASE WHEN p_size > 10 THEN '&other' ELSE '&Label,&other' END AS found FROM part""",
+)
+def unresolved_names(t):
+    text = F.concat(
+        F.lit("%let brand = "), c("p_brand"), F.lit(";\n%LET size="), c("p_size"), F.lit(";\n"),
+        F.when(c("p_size") > 10, F.concat(F.lit("%let label =  "), c("p_name"), F.lit(" ;"))).otherwise(""),
+        F.lit("x = &Brand. &SIZE &Label &other &other;"),
+    )
+    return t.part.select("p_partkey", F.array_join(sf.unresolved(text), ",").alias("found"))
+
+
 @query(
     "marker_lines",
     r"""SELECT doc_id, line, line_no FROM (

@@ -73,7 +73,14 @@ def test_notes_and_report(spark):
         "- Passed: 1  |  Warnings: 0  |  Failed: 1  |  Skipped: 0",
         "### [1] DATA_STEP → out  ✗ FAIL (0.00)", "- WARN: w", "- FAIL: g", "- FAIL: f",
         "### [2] PROC_SQL → ?  ✓ PASS (1.00)", "All checks passed.",
-        "- Block 1: Re-run /convert — output missing import statement.",
+        "## TODO items (across all blocks)", "(none)",
+        "## Recommendations", "- Block 1 (data_step → out): Re-run /convert — output missing import statement.",
+    ]
+    todos = spark.createDataFrame([(1, 4, "# TODO: b"), (2, 1, "# TODO: a"), (2, 9, "# TODO: b")], "block_no int, line_no bigint, line string")
+    text = [r.line for r in sf.report(blocks, checks.where("block_no = 2"), todos=todos).orderBy("part", "block_no", "line_no").collect()]
+    assert text[-6:] == [
+        "- INFO: 2 TODO item(s) logged", "## TODO items (across all blocks)", "1. # TODO: b", "2. # TODO: a",
+        "## Recommendations", "No specific recommendations — review any warnings above.",
     ]
 
 
