@@ -113,7 +113,8 @@ def disclosing_terms(docs: DataFrame, text: str = "text", disclosure: float = 0.
     if pairs.isEmpty():
         return None
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(value), r"[^\p{L}\p{N}]+"))).alias("term")).where("length(term) > 2")
-    terms = words.groupBy("term").agg(F.count("*").alias("having")).join(pairs.select("term").distinct(), "term", "left_semi")
+    # an inner join, as a semi join would be moved below the count, onto every word of the corpus
+    terms = words.groupBy("term").agg(F.count("*").alias("having")).join(pairs.select("term").distinct(), "term")
     holders = rows.select("entity", "text_hash", "rows", "context").groupBy("entity", "text_hash").agg(F.max("rows").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("holding"))
     total = docs.count()
     chance = F.col("holding") / F.lit(float(total))
