@@ -215,10 +215,11 @@ def _split(parts: DataFrame, length: int, step: int) -> DataFrame:
 
 def repeated_starts(parts: DataFrame, length: int = LENGTH, stretch: int = STRETCH, group_rows: int = GROUP_ROWS, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """``key, content, starts`` for different chunks (``key, content, left, bytes``; read twice: write them first)."""
-    sizes = parts.groupBy("key").agg(F.count("*").alias("many"))
     if not steps:
         return collections(parts, length, stretch)
-    usual = parts.join(sizes.where((F.col("many") > 1) & (F.col("many") <= group_rows)), "key", "left_semi")
+    # written, so that the joins below read both sides from plain exchanges, where a hot key can be split
+    sizes = written(parts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "group-sizes")
+    usual = parts.join(sizes.where(F.col("many") <= group_rows), "key", "left_semi")
     out = collections(usual, length, stretch)
     large = parts.join(sizes.where(F.col("many") > group_rows), "key", "left_semi")
     pieces = written(_split(large, length, steps[0]), "large-groups")
@@ -239,11 +240,12 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     long = rows.where(F.octet_length("text") >= length)
     chunks = occurrences(long, length, stretch)
-    often = chunks.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    often = written(chunks.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "keys")
     chunks = written(chunks.join(often, "key", "left_semi"), "chunks")
     kinds = chunks.groupBy("key", "content").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "text_hash", "first", "last", "anchor")).alias("at"))
     kinds = written(kinds, "kinds")
     several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    several = written(several, "keys")
     wanted = kinds.join(several, "key", "left_semi").groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("key", "content", "at.first", "at.last", "at.anchor")).alias("wanted"))
     parts = written(_fetch(long, wanted, length), "parts")
     starts = repeated_starts(parts, length, stretch, group_rows).where(F.size("starts") > 0)
