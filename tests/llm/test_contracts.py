@@ -275,6 +275,44 @@ def test_op6_odd_rows(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_similar_texts(spark):
+    """The pipeline's stage links by five-word shingles, 0.8 or more, which is many more than three differing bits."""
+    draw = random.Random(11)
+    rows, want = [], set()
+    for k in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(150)]
+        near, far = list(words), list(words)
+        near[20] = near[90] = "other"  # ten of 146 shingles differ: 136 / 156
+        for at in range(10, 140, 30):
+            far[at] = "other"  # 121 / 171
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(near).upper()), (10 * k + 2, " ".join(far)), (10 * k + 3, " ".join(words))]
+        want |= {10 * k, 10 * k + 2}
+    rows += [(1000, ""), (1001, None), (1002, "one two"), (1003, "one  two"), (1004, "one three"), (None, "of no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, df, DATA)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == want | {1000, 1002, 1004, None}
+    split = simhash.similar_texts(df, group_rows=2).select("group").distinct().count()
+    assert split == len(want) + 4
+
+
+def test_similar_texts_plain(spark, docs):
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {d: shingles(t) for d, t in docs.items()}
+    top = {d: d for d in docs}
+    for a in sorted(docs):
+        for b in sorted(docs):
+            x, y = sets[a], sets[b]
+            if a < b and 5 * len(x & y) >= 4 * len(x | y) and top[a] != top[b]:
+                low, high = sorted((top[a], top[b]))
+                top = {d: low if t == high else t for d, t in top.items()}
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    assert {r.doc_id for r in kept.collect()} == set(top.values())
+
+
 def test_op7(spark, docs):
     for doc, *got in rows_of("op7_quality_rules", spark, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"):
         assert tuple(got) == brute.op7(docs[doc])
