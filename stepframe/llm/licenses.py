@@ -1,11 +1,12 @@
 """License scans by sentence rules, with built-in column functions only.
 
-A text is cut into sentences, sentences are normalised (lower case, letters and digits only) and mapped to known
-licence-sentence identifiers. The sequence of identifiers of a document is then matched against ordered rules: a
+A text is normalised (lower case, letters and digits only) with a mark wherever a sentence may end. Known licence
+sentences are found from mark to mark and mapped to identifiers; marks inside a longer one do not matter, as a colon, an
+empty line or a line wrap in its midst sets one, too. The sequence of identifiers of a document is then matched against ordered rules: a
 rule is a sequence of identifiers; the first rule of the list that matches takes its identifiers, and the rest is
 offered to the next rules. Identifiers that no rule takes are reported as open.
 
-Every known sentence holds one of ``CUES``; a text without a cue is not cut at all. Work is per row, without a
+Every known sentence holds one of ``CUES``; a text without a cue is not looked at further. Work is per row, without a
 shuffle.
 
 Nulls: a null text has no sentences. Empty and very long texts are scanned like others; a licence that stands
@@ -24,7 +25,7 @@ from .common import aside, back, let
 SENTENCES = {
     "ApacheLine": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"],
     "ApacheCompliance": ["you may not use this file except in compliance with the license"],
-    "ApacheCopy": ["you may obtain a copy of the license at http www apache org licenses license 2 0"],
+    "ApacheCopy": [f"you may obtain a copy of the license at {scheme} www apache org licenses license 2 0" for scheme in ("http", "https")],
     "ApacheBasis": [
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
     ],
@@ -76,11 +77,31 @@ RULES = [
     ("Proprietary", "restricted", ["Copyright", "AllRights"]),
 ]
 # fixed values: every known sentence or opening holds one of these
-CUES = ["licen", "copyright", "permission", "redistribut", r"public\s+domain", "warrant", r"free\s+software", r"rights\s+reserved"]
-#: sentences end after these marks before white space, at empty lines, and before lines that open a known sentence
+CUES = ["licen", "copyright", "permission", "redistribut", r"public\W+domain", "warrant", r"free\W+software", r"rights\W+reserved"]
+#: sentences may end after these marks before white space, at empty lines, and before lines that open a known sentence
 _ENDS = r"(?<=[.!?:;])[\s\p{Z}]+|\n[ \t]*\r?\n|\n(?=[ \t#*/;-]*(?i:licensed|released|this|permission|copyright|spdx|redistribution|the|you|unless|see|mit|all)\b)"
 
 
+#: known sentences of fewer words hold no mark
+_LONG = 5
+
+
+def _found_pattern() -> str:
+    """Known sentences and openings, longest first, in a text as ``_marked`` gives it."""
+    inside = r"(?: \|)? "
+    texts = sorted((t for texts in SENTENCES.values() for t in texts), key=len, reverse=True)
+    known = [inside.join(t.split()) if t.count(" ") + 1 >= _LONG else t for t in texts]
+    opened = [p.removeprefix("^").replace(" ", inside).replace(f"c{inside})?", "c )?") + "[^|]*" for p in OPENINGS.values()]
+    return r"\| (?:" + "|".join([*known, *opened]) + r")(?= \|)"
+
+
+def _marked(text: Column) -> Column:
+    """Words in lower case, with ``|`` wherever a sentence may begin or end."""
+    ends = F.regexp_replace(F.translate(text, "|", ","), _ENDS, "|")
+    words = F.regexp_replace(F.lower(ends), "[^a-z0-9|]+", " ")
+    return F.regexp_replace(F.concat(F.lit("|"), words, F.lit("|")), r" ?\|[ |]*", " | ")
+
+
 def sentence_id(sentence: Column) -> Column:
     """Identifier of a sentence, or null."""
     known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, name)])
@@ -100,8 +121,7 @@ def _has_cue(text: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text in order."""
-    cut = F.filter(F.split(text, _ENDS), _has_cue)
-    found = F.filter(F.transform(cut, sentence_id), lambda x: x.isNotNull())
+    found = F.filter(F.transform(F.regexp_extract_all(_marked(text), F.lit(_found_pattern()), F.lit(0)), sentence_id), lambda x: x.isNotNull())
     return F.when(_has_cue(text), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter
 
 import brute
@@ -468,6 +469,75 @@ def test_op10_rules(spark, odd):
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+NOTICES = {
+    "apache": (APACHE, ["Apache-2.0"], ["Copyright"]),
+    "gpl": (GPL3, ["GPL-3.0-or-later"], []),
+    "gpl first": (GPL3.split("\n\n")[0], ["GPL-3.0-or-later"], []),
+    "mit": ("MIT License\n\n" + MIT, ["MIT"], []),
+    "mit grant": (MIT.split("\n\n", 1)[1], ["MIT"], []),
+    "bsd 3": ("Licensed under the 3-Clause BSD License.\n\n" + BSD, ["BSD-3-Clause"], []),
+    "bsd": (BSD, ["BSD"], []),
+    "bsd line": ("Released under the BSD license.", ["BSD"], []),
+    "apache line": ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"], []),
+    "gpl line": ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"], []),
+    "nc": ("This work is licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"], []),
+    "sa": ("This work is licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"], []),
+    "by": ("This work is licensed under CC BY 4.0.", ["CC-BY-4.0"], []),
+    "cc0": ("This is free and unencumbered software released into the public domain.", ["CC0-1.0"], []),
+    "spdx": ("SPDX-License-Identifier: MIT", ["SPDX"], []),
+    "all": ("Copyright (c) 2020 Some Body.\nAll rights reserved.", ["Proprietary"], []),
+    "no whole sentence": ("We like the MIT license. It is not GPL; see below | all rights reserved by law.", [], []),
+}
+
+
+def test_op10_canonical_texts(spark):
+    """As published, and wrapped anew at several widths, bare and as comments."""
+    rows = []
+    for name, (text, *_) in NOTICES.items():
+        parts = text.strip().split("\n\n")
+        rows.append((name, text))
+        for width in (20, 33, 60, 79, 100_000):
+            # titles and copyright lines stay lines of their own
+            wrapped = ["\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in (p.split("\n") if p.startswith("Copyright") else [p])) for p in parts]
+            for prefix in ("", "# ", " * ", "// "):
+                rows.append((name, "\n".join(prefix + x for x in "\n\n".join(wrapped).split("\n"))))
+    df = spark.createDataFrame(rows, "name string, text string")
+    for r in licenses.scan_licenses(df).collect():
+        assert (r.name, [x.license for x in r.licenses], r.open_ids, r.text) == (r.name, *NOTICES[r.name][1:], r.text)
+
+
 def test_op10_every_sentence_has_a_cue(spark):
     known = [t for texts in licenses.SENTENCES.values() for t in texts] + ["copyright 2020", "spdx license identifier mit"]
     df = spark.createDataFrame([(t,) for t in known], "text string")
