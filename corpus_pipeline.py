@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items are less than one word in twenty."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark items are less than one word in twenty, without the items' words; ``n_chars`` follows."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

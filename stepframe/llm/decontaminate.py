@@ -285,10 +285,17 @@ def contaminated(n_hit="n_hit", n_words="n_words", share: int = 20):
     return (F.col(n_hit) > 0) & (F.col(n_hit) * share >= F.col(n_words))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, as they are, with the columns of ``docs``."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, text: str = "text", chars: str | None = None) -> DataFrame:
+    """The documents that are not contaminated, with the columns of ``docs``; hit spans of ``n`` words are cut out of them.
+
+    ``chars`` names a column with the number of letters of the text, which follows a cut.
+    """
     own, to = aside(docs, "n_words", "n_hit", "hit_spans", "hit_items")
-    return back(benchmark_hits(own, benchmark, n, text).where(~contaminated(share=share)), docs.columns, to)
+    kept = cut_spans(benchmark_hits(own, benchmark, n, text).where(~contaminated(share=share)), n, text)
+    if chars is not None:
+        cut = F.exists("hit_spans", lambda s: s["last"] - s["first"] >= n)
+        kept = kept.withColumn(chars, F.when(cut, F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
+    return back(kept, docs.columns, to)
 
 
 def cut_spans(hits: DataFrame, min_words: int = 13, text: str = "text") -> DataFrame:

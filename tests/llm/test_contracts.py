@@ -230,6 +230,21 @@ def test_op5_cut_and_odd_rows(spark, odd):
     assert decontaminate.decontaminate(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_cuts_what_stays(spark):
+    """A long text with a verbatim item under the limit stays without the item; other texts stay as they are."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy(F.length("text").desc()).head().text
+    many = len(item.split())
+    long = " ".join(f"own{i}" for i in range(many * 30))
+    rows = [(1, f"{long} <{item}>! end"), (2, f"short {item}"), (3, "Nothing  here."), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.decontamination(spark, df, DATA).collect()}
+    assert set(got) == {1, 3, 4} and got[3] == ("Nothing  here.", 14) and got[4] == (None, None)
+    left, chars = got[1]
+    assert left.startswith(f"{long} <") and left.endswith("! end") and item[:40] not in left and chars == len(left) < len(rows[0][1])
+    hits = decontaminate.benchmark_hits(spark.createDataFrame([(1, left)], "doc_id long, text string"), spark.read.parquet(f"{DATA}/benchmark.parquet"))
+    assert hits.head().n_hit == 0
+
+
 def test_op6(spark, docs):
     want = brute.op6(list(docs.items()))
     assert {r[0]: r[1:] for r in rows_of("op6_simhash_components", spark, "doc_id", "fingerprint", "component_id")} == want
