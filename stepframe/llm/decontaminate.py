@@ -20,6 +20,7 @@ Other columns stay untouched; result columns replace columns of the same name.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -303,11 +304,18 @@ def cut_spans(hits: DataFrame, min_words: int = 13, text: str = "text") -> DataF
 
     Cut from the first letter of the span's first word to the last letter of its last word; nothing else changes.
     """
-    letters = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    words, gaps = F.regexp_extract_all(text, F.lit(letters), F.lit(0)), F.split(text, letters, -1)
+    cut = F.udf(lambda x, spans: _without(x, spans), "string")
     spans = F.filter("hit_spans", lambda s: s["last"] - s["first"] >= min_words)
-    gone = F.transform(words, lambda w, i: F.exists(spans, lambda s: (i >= s["first"]) & (i < s["last"])))
-    within = F.transform(words, lambda w, i: F.exists(spans, lambda s: (i >= s["first"]) & (i < s["last"] - 1)))
-    parts = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.get(gaps, i + 1).alias("gap"), F.get(gone, i).alias("gone"), F.get(within, i).alias("within")))
-    kept = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(parts, lambda p: F.concat(F.when(p["gone"], "").otherwise(p["word"]), F.when(p["within"], "").otherwise(p["gap"]))), ""))
-    return hits.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(kept))
+    return hits.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(cut(F.when(F.size(spans) > 0, F.col(text)), spans)))
+
+
+def _without(text: str | None, spans: list) -> str | None:
+    """The text without the stretches of words, in one walk over its words."""
+    if text is None or not spans:
+        return text
+    words = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : words[s["first"]][0]])
+        at = words[s["last"] - 1][1]
+    return "".join([*out, text[at:]])
