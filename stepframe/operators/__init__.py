@@ -17,11 +17,11 @@ from .ordered import (  # noqa: F401
     split_n, tail,
 )
 from .parity import (  # noqa: F401
-    line_coverage, notes, parity, parity_columns, parity_dtypes, parity_shape, parity_values,
+    column_parity, column_profiles, line_coverage, notes, parity, parity_columns, parity_dtypes, parity_shape, parity_values,
     pattern_check, recommendations, report, required, required_columns, rollup, scorecard,
 )
 from .reshape import expand_months, expand_range, generate, rows, to_long, to_wide  # noqa: F401
-from .retrieval import context, fallback_text, nearest, with_fallback  # noqa: F401
+from .retrieval import context, fallback_text, nearest, pairs_measured, with_fallback  # noqa: F401
 from .sorting import nodupkey, sort  # noqa: F401
 from .summary import (  # noqa: F401
     describe, exact_quantiles, freq, into_list, means, nth_highest, row_count,

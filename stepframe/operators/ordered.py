@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from itertools import repeat
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import shared_dir
-from .keys import as_list, parse, same_keys, sort_columns, total_order
+from .keys import Key, as_list, parse, same_keys, sort_columns, total_order
 from .spread import Spread
 
 #: farthest offset served from the edges of a piece; beyond it rows are joined by number
@@ -38,6 +43,41 @@ def row_index(df: DataFrame, order_by, name: str = "row_num", ties: bool = True)
     return row_number(df, None, order_by, name, ties)
 
 
+#: a double is added up as three integers of so many bits each, on one scale for the column
+_LIMB_BITS = 28
+_LIMBS = 3
+
+
+def _exact_parts(df: DataFrame, col: str) -> tuple[dict[str, Column], Callable[[Mapping[str, Column]], Column]]:
+    """Integers whose sums do not depend on the order of the rows, and how to get a total back from their sums.
+
+    The scale is the power of two above the column's largest value, found by one aggregate inside the same plan. 84 bits
+    below it are kept, so values are taken as they are unless they are 2 ** 31 times smaller than the largest one, and the total
+    is the exact sum, rounded once. Infinite values and NaN are added apart, by their own rules.
+    """
+    finite = F.when(~F.isnan(col) & (F.abs(F.col(col)) < float("inf")), F.col(col).cast("double"))
+    top = df.agg(F.max(F.abs(finite)).alias("top")).select(F.greatest(F.coalesce(F.ceil(F.log2(F.nullif("top", F.lit(0.0)))), F.lit(0)), F.lit(-995)).alias("e")).scalar()
+    unit = F.lit(float(1 << _LIMB_BITS))
+    parts: dict[str, Column] = {}
+    rest = F.coalesce(finite, F.lit(0.0)) * F.pow(F.lit(2.0), F.lit(_LIMB_BITS) - top)
+    for k in range(_LIMBS):
+        whole = F.rint(rest) if k == _LIMBS - 1 else F.floor(rest)
+        parts[f"__limb{k}"] = F.when(F.col(col).isNotNull(), whole.cast("bigint"))
+        rest = (rest - whole.cast("double")) * unit
+    parts["__odd"] = F.when(F.col(col).isNotNull(), F.when(finite.isNull(), F.col(col).cast("double")).otherwise(0.0))
+
+    def total(sums: Mapping[str, Column]) -> Column:
+        whole = F.lit(0).cast("decimal(38,0)")
+        for k in range(_LIMBS):
+            shift = F.lit(1 << _LIMB_BITS * (_LIMBS - 1 - k)).cast("decimal(18,0)")
+            whole = (whole + (sums[f"__limb{k}"].cast("decimal(20,0)") * shift).cast("decimal(38,0)")).cast("decimal(38,0)")
+        low = top - _LIMB_BITS * _LIMBS
+        half = F.floor(low / 2)  # in two steps: the power itself may be too small for a double
+        return whole.cast("double") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), low - half) + sums["__odd"]
+
+    return parts, total
+
+
 def running_sum(
     df: DataFrame,
     col: str,
@@ -49,18 +89,25 @@ def running_sum(
     """Running total; a missing value adds nothing.
 
     Within BY groups the first row *assigns* its value, so leading missing values stay missing.
-    Over the whole table the retained variable starts at 0.
+    Over the whole table the retained variable starts at 0. Totals of doubles are exact sums, rounded once: they do not
+    depend on how groups are cut into pieces or on the number of tasks.
     """
     by = as_list(by)
     name = name or f"{col}_running"
     sp = Spread(df, by, total_order(df, by, order_by, ties))
-    local = F.sum(col).over(sp.rows_so_far())
-    if not sp.split:
-        out = df.withColumn(name, local)
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        parts, total = _exact_parts(df, col)
     else:
-        out = sp.attach(sp.carry(__before=F.sum(col))).withColumn("__local", local)
-        both = F.coalesce("__local", F.lit(0)) + F.coalesce("__before", F.lit(0))
-        out = out.withColumn(name, F.when(F.coalesce("__local", "__before").isNotNull(), both))
+        parts, total = {"__value": F.col(col)}, lambda sums: sums["__value"]
+    for part, value in parts.items():
+        sp.add(part, value)
+    out = sp.attach(sp.carry(**{f"{p}_before": F.sum(p) for p in parts})) if sp.split else sp.frame
+    out = out.withColumns({f"{p}_sum": F.sum(p).over(sp.rows_so_far()) for p in parts})
+    sums = {p: F.col(f"{p}_sum") for p in parts}
+    if sp.split:
+        some = F.coalesce(*[f"{p}_{x}" for p in parts for x in ("sum", "before")]).isNotNull()
+        sums = {p: F.when(some, F.coalesce(f"{p}_sum", F.lit(0)) + F.coalesce(f"{p}_before", F.lit(0))) for p in parts}
+    out = out.withColumn(name, total(sums))
     if not by:
         out = out.withColumn(name, F.coalesce(name, F.lit(0)))
     return sp.finish(out, name)
@@ -170,63 +217,42 @@ def retain_fold(
     df: DataFrame,
     by,
     order_by,
-    init: Column,
-    step: Callable[[Column, Column], Column],
+    init,
+    step: Callable[[Any, Any], Any],
+    state_type: str = "double",
     name: str = "state",
-    chunk_rows: int = 2_000,
+    using: Sequence[str] | None = None,
     ties: bool = True,
 ) -> DataFrame:
-    """General retained state: ``state = step(state, row)`` row by row within each group.
-
-    ``step`` gets the previous state and the current row as a struct and must return the type of
-    ``init``. Such a recurrence is sequential by nature, so no engine can run one group in
-    parallel; what is bounded here is memory. A group is folded in chunks of ``chunk_rows`` rows:
-    round r folds chunk r of all groups that are that long, starting from the states of round
-    r - 1. Nearly all groups end in the first round. Prefer ``running_sum``, ``row_number`` or
-    ``lag`` where the state is a sum, a counter or an earlier value.
+    """General retained state: ``state = step(state, row)`` row by row within each group, from ``init`` on.
+
+    ``step`` is a Python function; ``row`` has the columns ``using`` (all, if not given) as attributes, missing values as None.
+    ``state_type`` is the type of the new column; the state itself may be any value of that type.
+
+    One job, whatever the length of a group: rows are brought together by key and sorted, and each task folds its
+    rows as one ordered stream of Arrow batches with the state carried along, so memory is bounded by a batch. Such a
+    recurrence is sequential by nature: no engine can fold one group in parallel. Prefer ``running_sum``, ``row_number``
+    or ``lag`` where the state is a sum, a counter or an earlier value. Without BY keys the table is one group.
     """
     by = as_list(by)
-    cols = df.columns
-    numbered = row_number(df, by, order_by, "__no", ties)
-    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    rounds = max(1, math.ceil(most / chunk_rows))
-    state_type = df.select(init.alias("s")).schema["s"].dataType.simpleString()
-    row = F.struct("__no", F.struct(*cols).alias("row"))
-
-    def fold(rows: DataFrame, start: Column) -> DataFrame:
-        def advance(acc: Column, r: Column) -> Column:
-            new = step(F.element_at(acc, -1), r.getField("row")).cast(state_type)
-            return F.concat(acc, F.array(new))
-
-        # the array holds the start state and one state per row
-        states = F.aggregate(
-            "__rows", F.array(start), advance, lambda acc: F.slice(acc, 2, F.size(acc) - 1)
-        )
-        grouped = rows.groupBy(*by).agg(
-            F.array_sort(F.collect_list(row)).alias("__rows"), F.first("__start").alias("__start")
-        )
-        return grouped.withColumn("__states", states)
-
-    def emit(folded: DataFrame) -> DataFrame:
-        pairs = folded.select(F.inline(F.arrays_zip("__rows", "__states")))
-        return pairs.select("__rows.row.*", F.col("__states").alias(name))
-
-    init_typed = init.cast(state_type)
-    if rounds == 1:
-        return emit(fold(numbered.withColumn("__start", init_typed), F.col("__start")))
-    shared_dir(df.sparkSession)  # each round is checkpointed there
-    numbered = numbered.withColumn("__chunk", F.floor((F.col("__no") - 1) / F.lit(chunk_rows))).checkpoint()
-    out, states = None, None
-    for r in range(rounds):
-        rows = numbered.where(F.col("__chunk") == r)
-        if states is None:
-            rows = rows.withColumn("__start", init_typed)
-        else:
-            on = same_keys((F.col(b), F.col(f"__s_{b}")) for b in by)
-            rows = rows.join(states, on).drop(*[f"__s_{b}" for b in by])
-        folded = fold(rows, F.col("__start")).checkpoint()
-        states = folded.select(
-            *[F.col(b).alias(f"__s_{b}") for b in by], F.element_at("__states", -1).alias("__start")
-        )
-        out = emit(folded) if out is None else out.unionByName(emit(folded))
-    return out
+    using = list(df.columns if using is None else using)
+    kept = df.drop(name)
+    keys = total_order(kept, by, order_by, ties)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, df.sparkSession.range(0).select(F.lit(None).cast(state_type).alias("s")).schema["s"].dataType)])
+    ordered = (kept.repartition(*by) if by else kept.repartition(1)).sortWithinPartitions(*sort_columns([*map(Key, by), *keys]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = namedtuple("Row", using, rename=True)
+        group, state, kind = None, init, to_arrow_type(schema[name].dataType)
+        for batch in batches:
+            owners = zip(*[batch.column(b).to_pylist() for b in by]) if by else repeat((), batch.num_rows)
+            values = zip(*[batch.column(u).to_pylist() for u in using])
+            states = []
+            for owner, value in zip(owners, map(row._make, values)):
+                if group is None or owner != group and not all(a == b or a != a and b != b for a, b in zip(owner, group)):
+                    group, state = owner, init  # NaN keys are one group
+                state = step(state, value)
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, kind)], schema.names)
+
+    return ordered.mapInArrow(fold, schema)

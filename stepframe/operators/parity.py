@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.logic import BANDS_LONG, BELOW_BANDS_LONG, band
 from .chunking import line_marks
+from .keys import same_keys
 from .ordered import row_index, row_number
 
 STATUSES = ("pass", "fail", "warning", "skipped")
@@ -67,6 +68,100 @@ def parity_dtypes(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return _one(actual, "dtypes_compatible", "warning", f"Incompatible types: {bad}")
 
 
+# Texts that count as numbers and as dates.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+
+
+def _digest(value: Column) -> Column:
+    """Sum of hashes: the same for the same values in any order, copies counted; missing values are left out."""
+    return F.sum(F.when(value.isNotNull(), F.xxhash64(value)).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def column_profiles(df: DataFrame) -> DataFrame:
+    """One row per column from all its values: (column_name, declared, family, rows, nulls, digest, values_digest).
+
+    ``family`` is what the values are: a text column whose values all read as numbers (or dates) is of that family.
+    ``digest`` stands for the values as they are typed, ``values_digest`` for the numbers, moments or texts that they mean,
+    so that it survives a change of type. One aggregate over the table; nothing but its single row moves on.
+    """
+    parts, profiles = [], []
+    for i, f in enumerate(df.schema.fields):
+        col, kind = F.col(f"`{f.name}`"), _family(f.dataType)
+        typed = F.to_json(F.struct(col)) if "map<" in f.dataType.simpleString() else col
+        number = moment = F.lit(None)
+        if kind == "number":
+            number = col.cast("double") + F.lit(0.0)  # one zero
+        elif kind == "date":
+            moment = col.cast("timestamp_ntz").cast("string")
+        elif kind == "string":
+            number = F.when(col.rlike(_NUMBER), F.trim(col).try_cast("double") + F.lit(0.0))
+            moment = F.when(col.rlike(_DATE), col.try_cast("timestamp_ntz").cast("string"))
+        names = {n: f"__{n}{i}" for n in ("n", "numbers", "moments", "digest", "as_number", "as_moment")}
+        parts += [
+            F.count(col).alias(names["n"]),
+            F.count(number).alias(names["numbers"]),
+            F.count(moment).alias(names["moments"]),
+            _digest(typed).alias(names["digest"]),
+            _digest(number.cast("double")).alias(names["as_number"]),
+            _digest(moment.cast("string")).alias(names["as_moment"]),
+        ]
+        some = F.col(names["n"]) > 0
+        family = F.lit(kind)
+        if kind == "string":
+            family = F.when(some & (F.col(names["numbers"]) == F.col(names["n"])), "number").when(some & (F.col(names["moments"]) == F.col(names["n"])), "date").otherwise("string")
+        profiles.append(
+            F.struct(
+                F.lit(f.name).alias("column_name"),
+                F.lit(f.dataType.simpleString()).alias("declared"),
+                family.alias("family"),
+                F.col("__rows").alias("rows"),
+                (F.col("__rows") - F.col(names["n"])).alias("nulls"),
+                F.col(names["digest"]).alias("digest"),
+                F.when(family == "number", F.col(names["as_number"])).when(family == "date", F.col(names["as_moment"])).otherwise(F.col(names["digest"])).alias("values_digest"),
+            )
+        )
+    return df.agg(F.count(F.lit(1)).alias("__rows"), *parts).select(F.inline(F.array(*profiles)))
+
+
+def column_parity(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row per column of either table, judged by all its values: (column_name, expected_name, status, detail).
+
+    Columns of one name pass when their values are the same, in any order. A column under another name is found by its
+    values, and so is one of another type: both are warnings, as are different values, extra and missing columns.
+    Both profiles have a row per column, so everything after the two aggregates is small.
+    """
+    a, e = column_profiles(actual).alias("a"), column_profiles(expected).alias("e")
+    by_name = a.join(e, F.col("a.column_name") == F.col("e.column_name"), "full")
+    a_only = by_name.where("e.column_name IS NULL").select("a.*")
+    e_only = by_name.where("a.column_name IS NULL").select("e.*")
+    look = ["family", "rows", "nulls", "values_digest"]
+    place = Window.partitionBy(*look).orderBy("column_name")  # equal columns are paired in the order of their names
+    x, y = (t.withColumn("__place", F.row_number().over(place)).alias(n) for t, n in ((a_only, "x"), (e_only, "y")))
+    on = same_keys((F.col(f"x.{c}"), F.col(f"y.{c}")) for c in [*look, "__place"])
+    moved = x.join(y, on, "full").select(
+        F.col("x.column_name").alias("column_name"),
+        F.col("y.column_name").alias("expected_name"),
+        F.lit("warning").alias("status"),
+        F.when(F.col("y.column_name").isNull(), "extra column").when(F.col("x.column_name").isNull(), "missing column").otherwise("same values under another name").alias("detail"),
+    )
+    same_type = F.col("a.declared") == F.col("e.declared")
+    counts = (F.col("a.rows") == F.col("e.rows")) & (F.col("a.nulls") == F.col("e.nulls"))
+    equal = counts & F.when(same_type, F.col("a.digest").eqNullSafe(F.col("e.digest"))).otherwise((F.col("a.family") == F.col("e.family")) & F.col("a.values_digest").eqNullSafe(F.col("e.values_digest")))
+    types = F.concat(F.col("a.declared"), F.lit(" vs "), F.col("e.declared"))
+    named = by_name.where("a.column_name IS NOT NULL AND e.column_name IS NOT NULL").select(
+        F.col("a.column_name").alias("column_name"),
+        F.col("e.column_name").alias("expected_name"),
+        F.when(equal & same_type, "pass").otherwise("warning").alias("status"),
+        F.when(equal & same_type, F.lit("same values"))
+        .when(equal, F.concat(F.lit("same values, "), types))
+        .when(same_type, F.lit("values differ"))
+        .otherwise(F.concat(F.lit("values differ, "), types))
+        .alias("detail"),
+    )
+    return named.unionByName(moved)
+
+
 def parity_values(actual: DataFrame, expected: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row (extra, missing): rows only in ``actual`` / only in ``expected``, copies counted.
 

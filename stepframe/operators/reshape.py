@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import scratch_path
 from .keys import as_list
 from .spread import fan_out
 
@@ -51,70 +54,89 @@ def expand_range(df: DataFrame, first: Column, last: Column, name: str = "i") ->
     return ok.withColumn(name, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
 
 
-#: rounds that a loop makes before its unfinished rows are carried on
-BLOCK_STEPS = 32
 #: rounds after which a loop counts as endless
 ENDLESS = 10_000_000
+#: rows of a loop that leave a task together
+_OUT_ROWS = 8_192
 
 
 def generate(
     df: DataFrame,
     state: Mapping[str, Column],
-    cond: Callable[[Column], Column],
-    step: Callable[[Column], Mapping[str, Column]],
+    cond: Callable[[Mapping[str, pd.Series]], pd.Series],
+    step: Callable[[Mapping[str, pd.Series]], Mapping[str, pd.Series]],
     until: bool = False,
     output: str = "after",
     max_steps: int = ENDLESS,
-    block: int = BLOCK_STEPS,
 ) -> DataFrame:
     """Rows from a loop over each input row's own state.
 
-    ``state`` gives the start values, ``step(s)`` the next ones. ``cond`` is tested before each
-    round (DO WHILE) or, with ``until=True``, after it and ends the loop (DO UNTIL, at least one
-    row). ``output="after"`` emits the state after the step, ``"before"`` the one before it. The
-    output has the input columns, the state columns and ``step_no``.
+    ``state`` gives the start values as columns. ``cond(s)`` and ``step(s)`` get the states of all rows of a batch whose
+    loop goes on, as Arrow-backed series by name (missing values stay missing), and answer for all of them at once:
+    true or false, and the next values of the states that change. ``cond`` is tested before each round (DO WHILE) or, with
+    ``until=True``, after it and ends the loop (DO UNTIL, at least one row); missing counts as false.
+    ``output="after"`` emits the state after the step, ``"before"`` the one before it. The output has the input
+    columns, the state columns and ``step_no``.
 
-    Rounds are made in blocks of ``block``: the states of a block are written to the shared folder, rows whose loop
-    has not ended start the next block from their last state, and blocks follow until no row is left. So a loop may
-    be as long as it likes; one that has not ended after ``max_steps`` rounds is taken for endless and fails.
+    One lazy stage, whatever the number of rounds: a task keeps one state per row of a batch and sends rows on as
+    they are made. A loop that has not ended after ``max_steps`` rounds is taken for endless and fails.
     """
     fields = list(state)
     own = [c for c in df.columns if c not in fields]
-    probe = df.select(F.struct(*[state[f].alias(f) for f in fields]).alias("s")).schema["s"].dataType
-    kind = probe.simpleString()
-    spark = df.sparkSession
-
-    def over(s: Column) -> Column:
-        met = F.coalesce(cond(s), F.lit(False))
-        return met if until else ~met
-
-    def grow(acc: Column, _i: Column) -> Column:
-        last = F.element_at(acc, -1)
-        new = step(last)
-        nxt = F.struct(*[(new[f] if f in new else last.getField(f)).alias(f) for f in fields]).cast(kind)
-        # a loop that tests after the round makes its first round in any case
-        stops = (F.size(acc) > 1) & over(last) if until else over(last)
-        return F.when(stops, acc).otherwise(F.concat(acc, F.array(nxt)))
-
-    live = fan_out(df).select(F.struct(*own).alias("__own") if own else F.lit(0).alias("__own"), F.struct(*[state[f].alias(f) for f in fields]).cast(kind).alias("__s"))
-    blocks, done = [], 0
-    while True:
-        rounds = min(block, max_steps - done)
-        states = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array("__s"), grow)
-        path = scratch_path(spark, "loop")
-        live.select("__own", states.alias("__states")).write.parquet(path)
-        made = spark.read.parquet(path)
-        # the array holds the state the block began with and one state per round
-        shown = F.slice("__states", 2 if output == "after" else 1, F.size("__states") - 1)
-        blocks.append(made.select("__own", F.posexplode(shown).alias("__pos", "__s")).withColumn("step_no", (F.col("__pos") + done + 1).cast("bigint")))
-        done += rounds
-        last = F.element_at("__states", -1)
-        live = made.where((F.size("__states") == rounds + 1) & ~over(last)).select("__own", last.alias("__s"))
-        if live.isEmpty():
-            break
-        if done >= max_steps:
-            raise RuntimeError(f"loop not finished after {max_steps} steps")
-    out = blocks[0]
-    for more in blocks[1:]:
-        out = out.unionByName(more)
-    return out.select(*[F.col("__own").getField(c).alias(c) for c in own], *[F.col("__s").getField(f).alias(f) for f in fields], "step_no")
+    start = df.select(*own, *[state[f].alias(f) for f in fields])
+    types = {f.name: T.StructField(f.name, f.dataType) for f in start.schema.fields}
+    schema = T.StructType([types[c] for c in [*own, *fields]] + [T.StructField("step_no", T.LongType())])
+
+    def loop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = {f: batch.schema.field(f).type for f in fields}
+            held, size, rounds = [], 0, 0
+            at = np.arange(batch.num_rows)
+            s = {f: pd.Series(batch.column(f), dtype=pd.ArrowDtype(kinds[f])) for f in fields}
+
+            def going(s, at):
+                met = pd.Series(cond(s)).to_numpy(dtype=bool, na_value=False)
+                live = ~met if until else met
+                return (s, at) if live.all() else ({f: v[live].reset_index(drop=True) for f, v in s.items()}, at[live])
+
+            def out():
+                rows = np.concatenate([h[0] for h in held])
+                values = [pa.concat_arrays([h[1][f] for h in held]) for f in fields]
+                steps = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
+                taken = batch.take(pa.array(rows))
+                return pa.RecordBatch.from_arrays([*[taken.column(c) for c in own], *values, pa.array(steps, pa.int64())], schema.names)
+
+            if not until:
+                s, at = going(s, at)
+            while len(at):
+                if rounds >= max_steps:
+                    raise RuntimeError(f"loop not finished after {max_steps} steps")
+                rounds += 1
+                new = step(s)
+                after = {f: _typed(new[f], kinds[f], len(at)) if f in new else v for f, v in s.items()}
+                held.append((at, {f: _arrow(v, kinds[f]) for f, v in (after if output == "after" else s).items()}, rounds))
+                size += len(at)
+                if size >= _OUT_ROWS:
+                    yield out()
+                    held, size = [], 0
+                s, at = going(after, at)
+            if held:
+                yield out()
+
+    return fan_out(start).mapInArrow(loop, schema)
+
+
+def _arrow(values: pd.Series, kind: pa.DataType) -> pa.Array:
+    found = pa.array(values, kind)
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def _typed(values, kind: pa.DataType, n: int) -> pd.Series:
+    """The next values of a state, in the type it has had from the start."""
+    if not isinstance(values, pd.Series):
+        values = pd.Series([values] * n)
+    if values.dtype == pd.ArrowDtype(kind):
+        return values
+    found = pa.array(values, from_pandas=True)
+    return pd.Series(found.cast(kind, safe=False) if found.type != kind else found, dtype=pd.ArrowDtype(kind))
+

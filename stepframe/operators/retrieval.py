@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.textscan import strip
-from ..session import scratch_path
-from .spread import fan_out
+from .metric_index import tiles
 
 # Fixed value: hits per query.
 TOP_K = 4
-#: vector cells (vectors x dimension) that one broadcast may hold
-MAX_CELLS = 8_000_000
-_BATCH_CELLS = 4_000_000
 
 # Text around assembled context.
 CONTEXT_HEAD = "=== RAG CONTEXT FOR CODE GEN ==="
@@ -29,85 +21,8 @@ NOT_FOUND = "No specific pattern found in knowledge base."
 SKIPPED_TYPES = ("macro", "unknown")
 
 
-def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return ((v - q) ** 2).sum(-1)
-
-
-def _update(q, v, ids, best_d, best_id, k):
-    """Running k best (distance, id) of every query row after one more slice of vectors.
-
-    A matrix product gives rough distances; its rounding error is covered by a margin and whatever
-    may still be among the best is measured by direct differences, so the result is exact.
-    """
-    q2, v2 = (q**2).sum(1), (v**2).sum(1)
-    rough = q2[:, None] + v2[None, :] - 2.0 * q @ v.T
-    margin = 1e-9 * (q2.max(initial=0.0) + v2.max(initial=0.0) + 1.0)
-    take = min(k, len(ids))
-    limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-    if best_d.shape[1] == k:
-        limit = np.minimum(limit, best_d[:, -1])
-    limit = limit + margin
-    near = rough <= limit[:, None]
-    counts = near.sum(1)
-    wide = min(len(ids), 4 * k + 16)
-    width = int(min(counts.max(initial=0), wide))
-    if width == 0:
-        return best_d, best_id
-    if width < len(ids):
-        cand = np.argpartition(rough, width - 1, axis=1)[:, :width]
-    else:
-        cand = np.broadcast_to(np.arange(len(ids)), rough.shape)
-    got_d, got_id = _exact(q[:, None, :], v[cand]), ids[cand]
-    new_d = np.concatenate([best_d, got_d], axis=1)
-    new_id = np.concatenate([best_id, got_id], axis=1) if best_id.shape[1] else got_id
-    order = np.lexsort((new_id, new_d), axis=-1)[:, :k]
-    new_d, new_id = np.take_along_axis(new_d, order, 1), np.take_along_axis(new_id, order, 1)
-    for i in np.flatnonzero(counts > width):  # many vectors at the same distance
-        at = np.flatnonzero(near[i])
-        d = np.concatenate([best_d[i], _exact(q[i], v[at])])
-        m = np.concatenate([best_id[i], ids[at]]) if best_id.shape[1] else ids[at]
-        first = np.lexsort((m, d))[:k]
-        new_d[i], new_id[i] = d[first], m[first]
-    return new_d, new_id
-
-
-def _matrix(column) -> np.ndarray:
-    return np.stack(column.to_pandas()).astype(np.float64)
-
-
-def _ids(column) -> np.ndarray:
-    found = np.asarray(column.to_pandas())
-    return found.astype(str) if found.dtype == object else found
-
-
-def _slices(n: int, size: int):
-    return (slice(at, at + size) for at in range(0, n, size))
-
-
-_Q_STEP = 1_024
-
-
-class _Best:
-    """Running best of a fixed list of queries, updated in slices of bounded size."""
-
-    def __init__(self, q: np.ndarray, k: int):
-        self.q, self.k = q, k
-        self.parts = [(s, np.empty((len(q[s]), 0)), None) for s in _slices(len(q), _Q_STEP)]
-
-    def add(self, v: np.ndarray, ids: np.ndarray) -> None:
-        v_step = max(1, _BATCH_CELLS // _Q_STEP)
-        for n, (s, d, i) in enumerate(self.parts):
-            for vs in _slices(len(ids), v_step):
-                none = np.empty((len(d), 0), ids.dtype)
-                d, i = _update(self.q[s], v[vs], ids[vs], d, none if i is None else i, self.k)
-            self.parts[n] = (s, d, i)
-
-    def batches(self, q_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s, d, i in self.parts:
-            if i is None or d.shape[1] == 0:
-                continue
-            columns = [np.repeat(q_ids[s], d.shape[1]), i.ravel(), d.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "vector_id", "distance"])
+def _picked(df: DataFrame, key: str, embedding: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.col(embedding).alias("v")).where("v IS NOT NULL")
 
 
 def nearest(
@@ -120,76 +35,40 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest vectors for every query vector: (query_id, rank, vector_id, distance).
 
-    Squared Euclidean distance in double precision; equal distances go to the smaller id. Every
-    task keeps only its k best per query, so no query-vector pairs are ever written or shuffled;
-    the last step merges k rows per query and task.
-
-    The smaller side is shipped to all tasks, the larger one is scanned where it lies. The size
-    shipped is checked: above ``MAX_CELLS`` it is cut into blocks by a hash of the id. Each block
-    makes one pass whose result is written to the shared folder before the next block is loaded.
+    Squared Euclidean distance in double precision; equal distances go to the smaller id. Vectors are indexed by their
+    nearest pivot and queries travel only to blocks that can hold one of their hits (see ``metric_index``); a block
+    emits k rows per query and the last step merges these. No side is collected or shipped whole. Equal query rows
+    count once.
     """
-    spark = queries.sparkSession
-
-    def pick(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col(key).alias("id"), F.col(embedding).alias("v")).where("v IS NOT NULL")
-
-    def cells(df: DataFrame) -> int:
-        return df.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-
-    q, v = pick(queries, query_id), pick(vectors, vector_id)
-    q_cells, v_cells = cells(q), cells(v)
-    ship_queries = q_cells <= v_cells
-    small, large = (q, v) if ship_queries else (v, q)
-    blocks = max(1, math.ceil(min(q_cells, v_cells) / MAX_CELLS))
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema[query_id].dataType),
-            T.StructField("vector_id", vectors.schema[vector_id].dataType),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    done: list[str] = []
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        block = small if blocks == 1 else small.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        table = block.toArrow()
-        if table.num_rows == 0:
-            continue
-        shipped = spark.sparkContext.broadcast((_ids(table["id"]), _matrix(table["v"])))
-
-        def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, mat = shipped.value
-            best = _Best(mat, k) if ship_queries else None
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                batch_ids, batch_mat = _ids(batch.column(0)), _matrix(batch.column(1))
-                if ship_queries:
-                    best.add(batch_mat, batch_ids)
-                else:
-                    own = _Best(batch_mat, k)
-                    own.add(mat, ids)
-                    yield from own.batches(batch_ids)
-            if ship_queries:
-                yield from best.batches(ids)
-
-        found = fan_out(large).mapInArrow(search, schema)
-        if blocks == 1:
-            out = found
-        else:
-            done.append(scratch_path(spark, "nearest"))
-            found.write.parquet(done[-1])
-            shipped.unpersist()
-    if done:
-        out = spark.read.schema(schema).parquet(*done)
+    q = _picked(queries, query_id, embedding).distinct()
+    found = tiles(q, _picked(vectors, vector_id, embedding), k)
+    if found is None:
+        kinds = (queries.schema[query_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString())
+        found = queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, vector_id {kinds[1]}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vector_id")
     return (
-        out.withColumn("rank", F.row_number().over(w))
+        found.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("bigint").alias("rank"), "vector_id", "distance")
     )
 
 
+def pairs_measured(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int = TOP_K,
+    query_id: str = "query_id",
+    vector_id: str = "vec_id",
+    embedding: str = "embedding",
+) -> DataFrame:
+    """One row (measured, pairs): pairs that ``nearest`` measures, and all pairs of a query and a vector."""
+    q, v = _picked(queries, query_id, embedding).distinct(), _picked(vectors, vector_id, embedding)
+    found = tiles(q, v, k, count=True)
+    measured = F.lit(0).cast("bigint") if found is None else found.agg(F.coalesce(F.sum("measured"), F.lit(0))).scalar()
+    counts = q.agg(F.count(F.lit(1)).alias("__q")).withColumn("__v", v.agg(F.count(F.lit(1))).scalar())
+    return counts.select(measured.alias("measured"), (F.col("__q") * F.col("__v")).alias("pairs"))
+
+
 def with_fallback(
     hits: DataFrame,
     queries: DataFrame,

@@ -35,8 +35,6 @@ PIECE_ROWS = 2_000_000
 MAX_PIECES = 10_000
 #: sampled rows per piece
 _SAMPLE_PER_PIECE = 20
-#: largest input that ``fan_out`` shuffles
-_FAN_OUT_BYTES = 1 << 30
 #: up to this many cut points are written into the plan as a decision tree of literals
 _TREE_CUTS = 512
 
@@ -54,13 +52,11 @@ def _sample(df: DataFrame, cols: Sequence[str], rows: int, wanted: int) -> tuple
 def fan_out(df: DataFrame) -> DataFrame:
     """Spread rows over all cores before row-wise work that is heavy on the processor.
 
-    Only for small inputs that sit in fewer files than there are cores. A large input has enough
-    partitions of its own and passes unchanged, and so does one that is not read from files.
+    Only where the input comes from fewer files than there are cores. Other inputs have enough partitions of their own
+    and pass unchanged, and so does one that is not read from files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 0 < files < cores and size <= _FAN_OUT_BYTES else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def has_hot_group(df: DataFrame, by: Sequence[str]) -> bool:
@@ -262,7 +258,8 @@ class Spread:
             .agg(F.sort_array(F.collect_list(F.struct("__rn", F.col(value).alias("v")))).alias("__own"))
         )
         order = F.col(PIECE) if forward else F.col(PIECE).desc()
-        after = Window.partitionBy(*self.by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+        # every piece here has a row at least, so the nearest n pieces hold what is wanted
+        after = Window.partitionBy(*self.by).orderBy(order).rowsBetween(1, n)
         others = F.slice(F.flatten(F.collect_list("__own").over(after)), 1, n)
         return nearest.select(*self.parts, F.transform(others, lambda x: x.getField("v")).alias("__edge"))
 

@@ -254,9 +254,9 @@ def retain_fold(t):
     rows = t.events.select("event_id", "user_id", "ts", "value")
 
     def step(s, r):
-        return F.when(r["value"] > 10, s * 0.5 + r["value"]).otherwise(s + 1)
+        return s * 0.5 + r.value if r.value is not None and r.value > 10 else s + 1
 
-    out = sf.retain_fold(rows, "user_id", ORDER, F.lit(0.0), step, ties=False)
+    out = sf.retain_fold(rows, "user_id", ORDER, 0.0, step, using=["value"], ties=False)
     return out.select("event_id", "user_id", "state")
 
 

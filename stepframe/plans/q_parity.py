@@ -42,30 +42,83 @@ def parity_values(t):
     return sf.parity_values(*actual_expected(t))
 
 
-def with_check(df, check):
-    """The one check row next to every row."""
-    row = check.select(F.struct("*").alias("check")).scalar()
-    return df.withColumn("check", row).select(*df.columns, "check.*")
+def same_values(actual, expected, a, e):
+    """SQL: the values of two columns are the same, copies counted."""
+    return f"""(NOT EXISTS (SELECT {a} FROM {actual} EXCEPT ALL SELECT {e} FROM {expected})
+                AND NOT EXISTS (SELECT {e} FROM {expected} EXCEPT ALL SELECT {a} FROM {actual}))"""
+
+
+def column_row(actual, expected, a, e, equal, unequal="values differ"):
+    """SQL: the row of two columns, by what their values say."""
+    ok = same_values(actual, expected, a, e)
+    return f"""SELECT '{a}' AS column_name, '{e}' AS expected_name,
+                      CASE WHEN {ok} AND '{equal}' = 'same values' THEN 'pass' ELSE 'warning' END AS status,
+                      CASE WHEN {ok} THEN '{equal}' ELSE '{unequal}' END AS detail"""
+
+
+RENAMED = """(SELECT c_custkey, c_name, c_nationkey, c_acctbal AS c_balance,
+              CASE WHEN c_custkey % 100 = 7 THEN 'OTHER' ELSE c_mktsegment END AS c_mktsegment FROM customer)"""
 
 
 @query(
     "parity_columns",
-    """SELECT c_custkey, 'column_names_match' AS name, 'warning' AS status,
-              'Column mismatch — extra: [''c_acctbal''], missing: [''c_balance'']' AS detail FROM customer""",
+    " UNION ALL ".join(
+        [column_row("customer", RENAMED, x, x, "same values") for x in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")]
+        + [
+            f"""SELECT 'c_acctbal', 'c_balance', 'warning', 'same values under another name'
+                WHERE {same_values("customer", RENAMED, "c_acctbal", "c_balance")}""",
+            "SELECT 'c_flag', NULL, 'warning', 'extra column'",
+        ]
+    ),
 )
 def parity_columns(t):
-    check = sf.parity_columns(t.customer, sf.rename(t.customer, {"c_acctbal": "c_balance"}))
-    return with_check(t.customer.select("c_custkey"), check)
+    actual = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", (c("c_custkey") % 3).alias("c_flag"))
+    segment = F.when(c("c_custkey") % 100 == 7, "OTHER").otherwise(c("c_mktsegment"))
+    expected = sf.rename(t.customer.withColumn("c_mktsegment", segment), {"c_acctbal": "c_balance"})
+    return sf.column_parity(actual, expected.select("c_custkey", "c_name", "c_nationkey", "c_balance", "c_mktsegment"))
+
+
+RETYPED = """(SELECT o_orderkey, o_orderstatus, o_totalprice::VARCHAR AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+              CASE WHEN o_orderkey % 500 = 0 THEN 'n/a' ELSE o_custkey::VARCHAR END AS o_custkey FROM orders)"""
 
 
 @query(
     "parity_dtypes",
-    """SELECT c_custkey, 'dtypes_compatible' AS name, 'warning' AS status,
-              'Incompatible types: [''c_acctbal: string vs double'']' AS detail FROM customer""",
+    " UNION ALL ".join(
+        [
+            column_row("orders", RETYPED, "o_orderkey", "o_orderkey", "same values"),
+            column_row("orders", RETYPED, "o_orderstatus", "o_orderstatus", "same values"),
+            f"""SELECT 'o_totalprice', 'o_totalprice', 'warning', 'same values, double vs string'
+                WHERE {same_values("orders", RETYPED, "o_totalprice", "o_totalprice::DOUBLE")}""",
+            f"""SELECT 'o_orderdate', 'o_orderdate', 'warning', 'same values, date vs string'
+                WHERE {same_values("(SELECT o_orderdate::DATE AS d FROM orders)", RETYPED, "d", "o_orderdate::DATE")}""",
+            f"""SELECT 'o_custkey', 'o_custkey', 'warning', 'values differ, bigint vs string'
+                WHERE EXISTS (SELECT 1 FROM {RETYPED} WHERE TRY_CAST(o_custkey AS DOUBLE) IS NULL)""",
+        ]
+    ),
 )
 def parity_dtypes(t):
-    check = sf.parity_dtypes(t.customer.withColumn("c_acctbal", c("c_acctbal").cast("string")), t.customer)
-    return with_check(t.customer.select("c_custkey"), check)
+    actual = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", c("o_orderdate").cast("date").alias("o_orderdate"), c("o_custkey").cast("bigint").alias("o_custkey"))
+    texts = {"o_totalprice": c("o_totalprice").cast("string"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"), "o_custkey": F.when(c("o_orderkey") % 500 == 0, "n/a").otherwise(c("o_custkey").cast("string"))}
+    return sf.column_parity(actual, actual.withColumns(texts))
+
+
+FAMILIES = [("o_orderkey", "number"), ("o_orderstatus", "string"), ("o_totalprice", "number"), ("o_orderdate", "date"), ("o_custkey", "string")]
+
+
+@query(
+    "column_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS column_name, CASE WHEN count(*) = count(TRY_CAST({name}::VARCHAR AS DOUBLE)) THEN 'number'
+                   WHEN count(*) = count(TRY_CAST({name}::VARCHAR AS TIMESTAMP)) THEN 'date' ELSE 'string' END AS family,
+                   count(*) AS rows, count(*) - count({name}) AS nulls FROM {RETYPED}"""
+        for name, _ in FAMILIES
+    ),
+)
+def column_profile(t):
+    texts = {"o_totalprice": c("o_totalprice").cast("string"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"), "o_custkey": F.when(c("o_orderkey") % 500 == 0, "n/a").otherwise(c("o_custkey").cast("string"))}
+    retyped = t.orders.withColumns(texts).select(*[name for name, _ in FAMILIES])
+    return sf.column_profiles(retyped).select("column_name", "family", "rows", "nulls")
 
 
 @query(

@@ -112,7 +112,7 @@ def payment_schedule(t):
     def pay(s):
         interest = s["balance"] * 0.005
         left = s["balance"] + interest - s["payment"]
-        return {"interest": interest, "balance": F.when(left < 0, 0.0).otherwise(left)}
+        return {"interest": interest, "balance": left.mask(left < 0, 0.0)}
 
     made = sf.generate(
         loans,

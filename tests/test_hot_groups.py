@@ -1,5 +1,6 @@
 """Split groups must give exactly what one big window gives."""
 
+import math
 import random
 
 import pytest
@@ -117,20 +118,72 @@ def test_pieces_are_small(skewed, small_pieces):
     assert (whole or 0) <= 2 * small_pieces
 
 
-def test_retain_fold_in_rounds(skewed):
+def test_retain_fold_is_one_stream_per_group(skewed, spark):
     def step(s, r):
-        return F.when(r["amount"] > 50, s * 0.5 + r["amount"]).otherwise(s + 1)
+        return s * 0.5 + r.amount if r.amount is not None and r.amount > 50 else s + 1
 
     data = skewed.select("id", "key", "ts", "amount")
-    one = sf.retain_fold(data, "key", ["ts", "id"], F.lit(0.0), step, ties=False)
-    many = sf.retain_fold(data, "key", ["ts", "id"], F.lit(0.0), step, chunk_rows=37, ties=False)
-    assert rows(one) == rows(many)
-    state, groups = {}, {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # the state is carried over many batches
+    try:
+        got = {r.id: r.state for r in sf.retain_fold(data, "key", ["ts", "id"], 0.0, step, using=["amount"], ties=False).collect()}
+        whole = sf.retain_fold(data, None, "id", 0, lambda n, r: n + 1, "bigint", "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    state, want = {}, {}
     for r in sorted(data.collect(), key=lambda r: (r.ts is not None, r.ts or 0, r.id)):
-        s = state.get(r.key, 0.0)
-        state[r.key] = s * 0.5 + r.amount if r.amount is not None and r.amount > 50 else s + 1
-        groups[r.id] = state[r.key]
-    assert dict((r.id, r.state) for r in one.collect()) == pytest.approx(groups)
+        want[r.id] = state[r.key] = step(state.get(r.key, 0.0), r)
+    assert got == want
+    assert {r.id: r.n for r in whole} == {i: i + 1 for i in range(1200)}
+
+
+def test_retain_fold_odd_keys_and_types(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (None, 3), (None, 4), (0.5, 5)], "k double, v int")
+    out = sf.retain_fold(df, "k", "v", "", lambda s, r: s + str(r.v), "string", "seen")
+    assert {r.v: r.seen for r in out.collect()} == {1: "1", 2: "12", 3: "3", 4: "34", 5: "5"}
+    assert sf.retain_fold(df.limit(0), "k", "v", 0.0, lambda s, r: s).count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["key"]])
+def test_totals_of_doubles_do_not_depend_on_pieces(skewed, spark, by):
+    """Same bits whole, in pieces and in single rows, and equal to the exact sum rounded once."""
+    value = F.when(F.col("id") % 11 != 0, F.pow(F.lit(-1.7), F.col("id") % 17) * (F.col("id") + 0.1) / 3)
+    df = skewed.select("id", "key", value.alias("v")).cache()
+
+    def totals():
+        return {r.id: r.t for r in sf.running_sum(df, "v", by, "id", "t", ties=False).collect()}
+
+    found = []
+    for pieces in ("100000", "50", "170"):
+        spark.conf.set("stepframe.pieceRows", pieces)
+        found.append(totals())
+    spark.conf.unset("stepframe.pieceRows")
+    assert found[0] == found[1] == found[2]
+    seen, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        values = seen.setdefault(r.key if by else 0, [])
+        values += [r.v] if r.v is not None else []
+        want[r.id] = math.fsum(values) if values or not by else None
+    assert found[0] == want
+
+
+def test_totals_of_odd_doubles(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1, "a", inf), (2, "a", 1.0), (3, "b", inf), (4, "b", -inf), (5, "c", nan), (6, "d", None), (7, "d", 5e-300), (8, "e", -1e300), (9, "e", 1e300)], "id int, k string, v double")
+    got = {r.id: r.t for r in sf.running_sum(df, "v", "k", "id", "t").collect()}
+    assert got[2] == got[3] == inf and got[4] != got[4] and got[5] != got[5] and got[6] is None and got[9] == 0.0
+    small = spark.createDataFrame([(1, 5e-320), (2, 5e-320)], "id int, v double")
+    assert sorted(r.t for r in sf.running_sum(small, "v", None, "id", "t").collect()) == [5e-320, 1e-319]
+
+
+def test_neighbours_over_a_thousand_pieces(spark):
+    df = spark.range(2000).select("id", (F.col("id") * 7 % 11).alias("v"), F.lit("one").alias("key"))
+    spark.conf.set("stepframe.pieceRows", "2")
+    try:
+        assert {r.id: r.p for r in sf.lag(df, "v", 5, "id", "key", "p", ties=False).collect()} == {i: (i - 5) * 7 % 11 if i > 4 else None for i in range(2000)}
+        flags = sf.by_flags(df.withColumn("sub", F.floor(F.col("id") / 4)), ["key", "sub"], "id", ties=False).agg(F.sum("first_sub"), F.sum("last_sub"), F.sum("first_key")).first()
+        assert tuple(flags) == (500, 500, 1)
+    finally:
+        spark.conf.unset("stepframe.pieceRows")
 
 
 def test_retry_gives_the_same_pieces(skewed, small_pieces):

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 import stepframe as sf
 
@@ -33,6 +34,37 @@ def test_parity(spark):
     assert set(status(sf.parity(a, None)).values()) == {"skipped"}
 
 
+def test_column_profiles_see_values(spark):
+    data = [(1, "1.0", "2024-01-31", "x", 1.5, None), (2, " 2", "2024-02-01 00:00:00", None, -0.0, None), (3, "3e0", None, "7", 0.0, None)]
+    df = spark.createDataFrame(data, "n int, t string, d string, s string, f double, e string")
+    got = {r.column_name: r for r in sf.column_profiles(df).collect()}
+    assert {k: (r.family, r.rows, r.nulls) for k, r in got.items()} == {
+        "n": ("number", 3, 0), "t": ("number", 3, 0), "d": ("date", 3, 1), "s": ("string", 3, 1), "f": ("number", 3, 0), "e": ("string", 3, 3)
+    }
+    assert got["n"].values_digest == got["t"].values_digest and got["n"].digest != got["t"].digest
+    again = {r.column_name: r.digest for r in sf.column_profiles(df.orderBy("n", ascending=False).repartition(3)).collect()}
+    assert again == {k: r.digest for k, r in got.items()}
+    assert {(r.rows, r.nulls, r.digest) for r in sf.column_profiles(df.limit(0)).collect()} == {(0, 0, None)}
+
+
+def test_column_parity(spark):
+    a = spark.createDataFrame([(1, "x", 2.0, "p", "2024-01-31"), (2, "y", 3.0, "p", None)], "k int, s string, v double, `odd name` string, d string")
+    e = a.selectExpr("k", "s AS t", "cast(v AS string) AS v", "`odd name`", "cast(d AS date) AS d", "k * 0 AS zero")
+    got = {(r.column_name, r.expected_name): (r.status, r.detail) for r in sf.column_parity(a, e).collect()}
+    assert got == {
+        ("k", "k"): ("pass", "same values"),
+        ("s", "t"): ("warning", "same values under another name"),
+        ("v", "v"): ("warning", "same values, double vs string"),
+        ("odd name", "odd name"): ("pass", "same values"),
+        ("d", "d"): ("warning", "same values, string vs date"),
+        (None, "zero"): ("warning", "missing column"),
+    }
+    changed = a.withColumn("s", F.when(F.col("k") == 1, "y").otherwise("y"))
+    assert {r.column_name: r.detail for r in sf.column_parity(a, changed).collect()}["s"] == "values differ"
+    twins = a.selectExpr("k AS a", "k AS b")
+    assert rows(sf.column_parity(twins, a.selectExpr("k AS y", "k AS x"))) == [("a", "x", "warning", "same values under another name"), ("b", "y", "warning", "same values under another name")]
+
+
 def test_required(spark):
     df = spark.createDataFrame([(1, "uses out_df"), (2, "nothing")], "id int, code string")
     out = sf.required(df, "code", {"out": ["out_df"]}, "fail", "output_var_present")

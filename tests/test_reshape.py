@@ -38,7 +38,7 @@ def test_payment_schedule(spark):
     def pay(s):
         interest = s["balance"] * 0.005
         left = s["balance"] + interest - 1000
-        return {"interest": interest, "balance": F.when(left < 0, 0.0).otherwise(left)}
+        return {"interest": interest, "balance": left.mask(left < 0, 0.0)}
 
     loan = spark.createDataFrame([(1,)], "id int")
     start = {"balance": F.lit(100000.0), "interest": F.lit(0.0)}
@@ -58,8 +58,19 @@ def test_growth(spark):
 
 
 def test_endless_loop_is_an_error(spark):
-    with pytest.raises(RuntimeError, match="not finished after 20"):
-        sf.generate(spark.range(1), {"x": F.lit(1)}, lambda s: s["x"] > 0, lambda s: {"x": s["x"] + 1}, max_steps=20)
+    with pytest.raises(PySparkException, match="not finished after 20"):
+        sf.generate(spark.range(1), {"x": F.lit(1)}, lambda s: s["x"] > 0, lambda s: {"x": s["x"] + 1}, max_steps=20).collect()
+
+
+def test_long_loop_and_missing_states(spark):
+    long = sf.generate(spark.range(0, 2, 1, 1), {"x": F.lit(0)}, lambda s: s["x"] < 100_000, lambda s: {"x": s["x"] + 1})
+    assert tuple(long.agg(F.count("*"), F.max("x"), F.max("step_no")).first()) == (200_000, 100_000, 100_000)
+    df = spark.createDataFrame([(1, None, "a"), (2, 3, None)], "k int, n int, t string")
+    made = sf.generate(df, {"n": F.col("n"), "seen": F.lit(None).cast("string")}, lambda s: s["n"] <= 0, lambda s: {"n": s["n"] - 1}, until=True, max_steps=9)
+    with pytest.raises(PySparkException, match="not finished after 9"):  # a missing condition never ends the loop
+        made.collect()
+    assert rows(made.sparkSession.createDataFrame(sf.generate(df, {"n": F.col("n")}, lambda s: s["n"] > 0, lambda s: {"n": s["n"] - 2}).collect(), "k int, t string, n int, step_no long")) == [(2, None, -1, 2), (2, None, 1, 1)]
+    assert sf.generate(df.limit(0), {"n": F.col("n")}, lambda s: s["n"] > 0, lambda s: {"n": s["n"]}).columns == ["k", "t", "n", "step_no"]
 
 
 def test_transpose(spark):

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 import stepframe as sf
-from stepframe.operators import retrieval
+from stepframe.operators import metric_index
 
 
 def test_sections(spark):
@@ -68,8 +68,36 @@ def test_nearest_against_brute_force(spark, monkeypatch):
         return {q: [r.vector_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] for q in vecs}
 
     assert found() == want
-    monkeypatch.setattr(retrieval, "MAX_CELLS", 250)  # several passes over blocks
+    monkeypatch.setattr(metric_index, "BLOCK_ROWS", 20)  # many blocks, cells dealt over several, many chunks
+    monkeypatch.setattr(metric_index, "CHUNK_ROWS", 70)
     assert found() == want
+    monkeypatch.setattr(metric_index, "MAX_PROBES", 3)  # fewer than k: no bound from the sample
+    assert found() == want
+
+
+def test_nearest_rules_out_most_pairs_of_clustered_vectors(spark):
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(0, 10, (25, 16))
+    mat = centres[rnd.integers(0, 25, 4000)] + rnd.normal(0, 0.3, (4000, 16))
+    mat[1000:2333] = mat[0]  # a third of all rows is one vector
+    vecs = {i: [float(x) for x in v] for i, v in enumerate(mat)}
+    df = spark.createDataFrame(list(vecs.items()), "vec_id bigint, embedding array<double>").repartition(4)
+    few = df.where("vec_id % 10 = 0")
+    work = sf.pairs_measured(few, df, query_id="vec_id").first()
+    assert work.pairs == 400 * 4000 and work.measured < 0.2 * work.pairs
+    got = {}
+    for r in sf.nearest(few, df, query_id="vec_id").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vector_id)
+    assert got == brute({i: vecs[i] for i in range(0, 4000, 10)}, vecs, 4)
+
+
+def test_nearest_of_nothing(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "vec_id string, embedding array<float>")
+    one = sf.nearest(df, df, query_id="vec_id")
+    assert rows(one) == [("a", 1, "a", 0.0)]
+    for q, v in ((df, df.limit(0)), (df.limit(0), df)):
+        assert sf.nearest(q, v, query_id="vec_id").columns == one.columns and sf.nearest(q, v, query_id="vec_id").count() == 0
+    assert rows(sf.pairs_measured(df, df.limit(0), query_id="vec_id")) == [(0, 0)]
 
 
 def test_nearest_ships_the_smaller_side(spark):
