@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +42,23 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(first), texts[first:]
 
 
+_KEPT: dict = {"owner": None, "things": {}}
+
+
+def kept_by(owner: str) -> dict:
+    """What this Python worker keeps from one task to the next, for one operator at a time.
+
+    Workers outlive a stage. When another operator's tasks come, what the last one kept goes first, and the memory is
+    given back to the system, so that the stages of a pipeline do not add up in one worker.
+    """
+    if _KEPT["owner"] != owner:
+        _KEPT.update(owner=owner, things={})
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+    return _KEPT["things"]
 
 
 def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, back, byte_slices, written
+from .common import aside, back, byte_slices, kept_by, written
 
 #: text of benchmark items in one automaton
 SHARD_BYTES = 8 << 20
@@ -209,7 +209,6 @@ def _stretches(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 _FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPAN), T.StructField("hit_items", T.ArrayType(T.StringType()))])
-_MATCHERS: dict[str, Matcher] = {}  # of this worker, by pass
 
 
 def _pass(docs: DataFrame, items, n: int, text: str) -> DataFrame:
@@ -217,11 +216,12 @@ def _pass(docs: DataFrame, items, n: int, text: str) -> DataFrame:
     shared, token = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _MATCHERS:
-            while len(_MATCHERS) >= SHARDS_PER_PASS:
-                del _MATCHERS[next(iter(_MATCHERS))]
-            _MATCHERS[token] = Matcher(shared.value, n)
-        matcher = _MATCHERS[token]
+        matchers = kept_by("decontaminate")
+        if token not in matchers:
+            while len(matchers) >= SHARDS_PER_PASS:
+                del matchers[next(iter(matchers))]
+            matchers[token] = Matcher(shared.value, n)
+        matcher = matchers[token]
         for part, texts in byte_slices(batches, text):
             _, _, hashes, bounds = words_of(texts)
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]

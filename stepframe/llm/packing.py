@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, written
+from .common import byte_slices, kept_by, written
 
 CAPACITY = 4096
 #: pieces of one length that a task ranks
@@ -42,9 +42,6 @@ RANK_ROWS = 1_000_000
 REMEMBERED, REMEMBERED_BASES = 600_000, 500_000
 END_MARKS = ".,!?;:"
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 class WordEncoder:
     """Ids of texts by their words, for tokenizers whose tokens never cross white space and drop it.
 
@@ -112,9 +109,10 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    encoders = kept_by("packing")
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 _PIECE = T.StructType(

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, written
+from .common import byte_slices, kept_by, written
 
 ORDER = 5
-#: n-grams in one table of weights (16 bytes each, and as much again for the lookup)
+#: n-grams in one table of weights: 1.5 to 3 slots of 16 bytes for each, at most 144 MB a table
 SHARD_ENTRIES = 3_000_000
 #: tables in one pass over the documents
 SHARDS_PER_PASS = 3
@@ -92,6 +92,7 @@ def count_grams(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang, gram, n`` over all rows of ``trusted`` (``lang``, ``text``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("quality_lm")
         held: dict[str | None, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
         def merged(lang):
@@ -120,8 +121,8 @@ def count_grams(trusted: DataFrame, order: int = ORDER) -> DataFrame:
                     real[np.maximum(begin[1:-1] - back, 0)] = False
                 at = np.flatnonzero(real)
                 got, first, n = np.unique(key[at], return_index=True, return_counts=True)
-                grams = codes[at[first][:, None] + np.arange(order)]
-                held.setdefault(lang, []).append((got, n, grams.astype(np.uint32)))
+                grams = codes.astype(np.uint32)[at[first][:, None] + np.arange(order)]
+                held.setdefault(lang, []).append((got, n, grams))
                 if sum(len(p[0]) for p in held[lang]) > 600_000:
                     merged(lang)
             if sum(len(p[0]) for parts in held.values() for p in parts) > 2_000_000:
@@ -169,7 +170,7 @@ class _Table:
     """Weights by key, with open addressing over arrays."""
 
     def __init__(self, keys: np.ndarray, gain: np.ndarray, leave: np.ndarray):
-        bits = max(8, int(len(keys) * 3).bit_length())
+        bits = max(8, (len(keys) * 3 // 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, dtype=np.uint64)
         self.gain, self.leave = np.zeros(1 << bits, dtype=np.float32), np.zeros(1 << bits, dtype=np.float32)
@@ -195,19 +196,17 @@ class _Table:
         return slot
 
 
-_TABLES: dict[str, _Table] = {}
-
-
 def _score_pass(docs: DataFrame, shard, order: int, first: bool) -> DataFrame:
     schema = docs.schema if not first else T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("positions", T.LongType())])
     shared, token, names = docs.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex, docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _TABLES:
-            while len(_TABLES) >= 2:
-                del _TABLES[next(iter(_TABLES))]
-            _TABLES[token] = _Table(*shared.value)
-        table = _TABLES[token]
+        tables = kept_by("quality_lm")
+        if token not in tables:
+            while len(tables) >= 2:
+                del tables[next(iter(tables))]
+            tables[token] = _Table(*shared.value)
+        table = tables[token]
         for part, texts in byte_slices(batches, "text", SLICE):
             codes, begin = _codes(texts, order)
             seeds = np.array([_lang_seed(x) for x in part.column("lang").to_pylist()], dtype=np.uint64)

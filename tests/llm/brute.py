@@ -93,6 +93,28 @@ def op7(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)
 
 
+def similar_groups(docs, words=5, part=4, whole=5):
+    """docs: (id, text). Each id's group: texts whose sets of word shingles are similar by part / whole, through others too."""
+    sets, at = {}, {}
+    for d, t in docs:
+        w = SPACES.findall(lower(t))
+        sets[d] = frozenset(" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+        at[d] = d
+
+    def top(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both * whole >= (len(sets[a]) + len(sets[b]) - both) * part:
+                at[max(top(a), top(b))] = min(top(a), top(b))
+    return {d: top(d) for d in ids}
+
+
 def op8_pieces(tokenizer, text, capacity=4096):
     import numpy as np
 

@@ -571,10 +571,7 @@ def test_pipeline(spark):
     assert seen[0] > seen[1] >= seen[2] == seen[3]
     texts = {r.doc_id: r.text for r in before.collect()}
     # near-duplicates: one document of each group of what the first stage kept
-    groups = {}
-    for d, (_, c) in brute.op6([(d, texts[d]) for d in seen[0]]).items():
-        groups.setdefault(c, set()).add(d)
-    assert seen[1] == {min(g) for g in groups.values()}
+    assert seen[1] == set(brute.similar_groups([(d, texts[d]) for d in seen[0]]).values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     order = sorted(seen[1])
     assert seen[2] == {d for d, x in zip(order, brute.op5([texts[d] for d in order], items)) if not x[4]}
