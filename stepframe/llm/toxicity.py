@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices
+from .common import byte_slices, written
 
 #: words in one stretch
 STRETCH = 3
@@ -234,21 +234,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     Copies of a text count once. Sizes are looked at first and only texts that fit come to the driver.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__label"))
-    joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__text")).where("__text IS NOT NULL").join(marks, "__id")
-    hashed = joined.select("__label", F.xxhash64("__text").alias("__hash"), F.length("__text").alias("__bytes"), "__text")
+    texts = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text).cast("binary")).alias("__hash"), F.col(text).cast("binary").alias("__text")).where("__text IS NOT NULL")
+    # hashes and sizes alone meet the labels; different texts by their hash
+    sizes = texts.select("__id", "__hash", F.length("__text").alias("__bytes")).join(marks, "__id")
+    sizes = written(sizes.groupBy("__label", "__hash").agg(F.max("__bytes").alias("__bytes")), "labelled-texts")
     picked: list[tuple[int, int]] = []
     for k in (0, 1):
-        # different texts by their hash; each task keeps the first of its own
-        found = hashed.where(F.col("__label") == k).groupBy("__hash").agg(F.max("__bytes").alias("__bytes")).orderBy("__hash").limit(per_class)
+        found = sizes.where(F.col("__label") == k).select("__hash", "__bytes").orderBy("__hash").limit(per_class)  # each task keeps its first ones
         room = sample_bytes // 2
-        for r in sorted(found.collect()):
+        for r in found.collect():
             if r["__bytes"] <= room:
                 room -= r["__bytes"]
                 picked.append((k, r["__hash"]))
     if len({k for k, _ in picked}) < 2:
         return [], np.zeros(0, np.int64)
     wanted = docs.sparkSession.createDataFrame(picked, "__label int, __hash long")  # at most 2 * per_class rows
-    texts = hashed.join(F.broadcast(wanted), ["__label", "__hash"]).groupBy("__label", "__hash").agg(F.min("__text").alias("__text"))
+    texts = texts.join(F.broadcast(wanted), "__hash").groupBy("__label", "__hash").agg(F.min("__text").alias("__text"))
     rows = sorted((r["__hash"], r["__label"], bytes(r["__text"])) for r in texts.collect())
     return [t for _, _, t in rows], np.array([k for _, k, _ in rows], np.int64)
 
