@@ -3,12 +3,14 @@
 1. A list of host and path rules decides what it covers; the longest rule that fits wins.
 2. Labelled urls become sets of tokens (host labels and their words, path words, query keys, digits as ``#``), with
    the label as one more item. FP-growth mines the frequent combinations; rules that conclude ``block`` stay if their
-   confidence and support are high enough and no shorter rule says the same.
+   confidence and support are high enough, also on urls that were held out, and no shorter rule says the same.
 3. Each mined rule stands in an inverted index under its rarest token. Distinct token sets meet the rules that are
    listed under one of their tokens, and a rule fires if the set holds all its tokens.
 
-Labels come as a table of urls and verdicts. ``seed_labels`` makes them where there is none: what the list decides,
-and urls whose host has a word of a lexicon.
+Labels come as a table of urls and verdicts. ``seed_labels`` makes them where there is none: ``block`` if the host has a
+word of a lexicon, else a weak ``allow``. Either way only urls that the list leaves open are learnt from, as only such
+are judged: what the list decides, it decides by place, and its top-level domains and language paths would become rules.
+Without a table of labels, an open url whose host has a lexicon word is blocked even where the word is too rare for a rule.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, no tokens and no rule; it is allowed. Repeated
 rows are judged each; token sets are matched once however many pages share them. No labels, or none of a kind: no
@@ -27,6 +29,8 @@ from .common import let, written
 LISTED = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: host words that label a url as bad where there is no better label; a parameter, of common block list categories
 LEXICON = ["adult", "porn", "sex", "xxx", "casino", "poker", "bet", "bets", "betting", "gambling", "pills", "viagra", "pharmacy", "spam", "malware", "phishing", "warez", "torrent", "ads", "adserver", "track", "tracker"]
+#: one url in so many, by its hash, is kept from mining and tests the rules
+HELD_OUT = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,55 +63,81 @@ def listed(host: Column, path: Column, rules=LISTED) -> Column:
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: ``h:`` host label, ``w:`` word of a host label, ``p:`` path word, ``q:`` query key."""
+    """Distinct tokens of a url: ``h:`` host label of several words, ``w:`` word of a host label, ``p:`` path word, ``q:``
+    query key."""
     plain = lambda x: F.regexp_replace(F.translate(x, UPPER, LOWER), "[0-9]+", "#")
     some = lambda xs, mark: F.transform(F.filter(xs, lambda x: x != ""), lambda x: F.concat(F.lit(mark), x))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0))
     return F.array_sort(
         F.array_distinct(
-            F.concat(some(F.split(plain(host), r"\."), "h:"), some(F.split(plain(host), r"[.-]"), "w:"), some(F.split(plain(path), "[^a-z#]+"), "p:"), some(F.transform(keys, plain), "q:"))
+            F.concat(some(F.filter(F.split(plain(host), r"\."), lambda x: x.contains("-")), "h:"), some(F.split(plain(host), r"[.-]"), "w:"), some(F.split(plain(path), "[^a-z#]+"), "p:"), some(F.transform(keys, plain), "q:"))
         )
     )
 
 
 def judged_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=LISTED) -> DataFrame:
-    """``page_id, host, path, rule, listed, tokens``."""
+    """``page_id, host, path, rule, listed, tokens, held``; ``held`` urls test the rules instead of being mined."""
     parts = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), url_parts(F.col(url)).alias("parts")).select("page_id", "url", "parts.host", "parts.path")
     found = parts.withColumn("hit", listed(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
-    return found.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("listed"), "tokens")
+    return found.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("listed"), "tokens", (F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0).alias("held"))
+
+
+def _lexical(lexicon=LEXICON) -> Column:
+    return F.arrays_overlap("tokens", F.array(*[F.lit(f"w:{w}") for w in lexicon]))
 
 
 def seed_labels(judged: DataFrame, lexicon=LEXICON) -> DataFrame:
-    """``tokens, label``: the list's verdict, else ``block`` for hosts with a word of the lexicon; other urls have none."""
-    word = F.arrays_overlap("tokens", F.array(*[F.lit(f"w:{w}") for w in lexicon]))
-    return judged.select("tokens", F.coalesce("listed", F.when(word, "block")).alias("label")).where("label IS NOT NULL AND size(tokens) > 0")
+    """``tokens, held, label`` of the urls that the list leaves open: ``block`` for hosts with a word of the lexicon, else ``allow``."""
+    return judged.where("listed IS NULL AND size(tokens) > 0").select("tokens", "held", F.when(_lexical(lexicon), "block").otherwise("allow").alias("label"))
+
+
+def _outcomes(keyed: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``tokens, key, all, bad``: labelled urls, and those to block, that hold all ``tokens`` (listed under ``key``)."""
+    alike = labelled.groupBy(F.col("tokens").alias("own"), "label").agg(F.count("*").alias("many"))
+    met = alike.withColumn("key", F.explode("own")).join(keyed.select("tokens", "key"), "key").where(F.size(F.array_except("tokens", "own")) == 0)
+    return met.groupBy("tokens", "key").agg(F.sum("many").alias("all"), F.sum(F.when(F.col("label") == "block", F.col("many")).otherwise(0)).alias("bad"))
 
 
-def mine_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.95, longest: int = 3) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float = 0.001, confidence: float = 0.95, longest: int = 3, least: int = 3, held: DataFrame | None = None) -> DataFrame:
     """``tokens, confidence, support, key`` of the rules that conclude ``block``, without those a shorter one implies.
 
-    ``support`` is a share of the labelled urls, so the number of frequent tokens, all that FP-growth keeps in one
-    place, is at most the tokens of a url divided by it. Grown from the block items only, as other combinations
-    cannot conclude ``block``; confidence then counts all labelled urls, one pass for all candidates by the index.
+    A rule has at most ``longest`` tokens, at least ``least`` urls to block, and ``support`` of all urls to block, so the
+    number of frequent tokens, all that FP-growth keeps in one place, is at most the tokens of a url divided by it.
+    Single tokens are counted first. A combination with a token that is a rule already says no more, so FP-growth
+    gets the other tokens, of the urls to block only, as other combinations cannot conclude ``block``; confidence
+    counts all labelled urls, one pass for all candidates by the index. With ``held``, rules must occur and reach the
+    confidence there as well.
     """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "tokens array<string>, confidence double, support double, key string")
-    total = labelled.count()
     bad = labelled.where("label = 'block'")
-    share = bad.count() / total if total else 0
-    if not share:
-        return empty
-    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, support / share), minConfidence=1.0).fit(bad.select("tokens"))
-    sets = model.freqItemsets.where(F.size("items") <= longest).select(F.array_sort("items").alias("tokens"))
-    counts = labelled.select(F.explode("tokens").alias("key")).groupBy("key").count()
+    total = bad.count()
+    if not total:
+        return spark.createDataFrame([], "tokens array<string>, confidence double, support double, key string")
+    need = max(least, support * total)
+    sure, often = F.col("bad") / F.col("all"), F.col("bad") / F.lit(float(total))
+    good = (sure >= confidence) & (F.col("bad") >= need)
+    as_rules = lambda df: df.where(good).select("tokens", sure.alias("confidence"), often.alias("support"), "key")
+
+    def tested(rules: DataFrame) -> DataFrame:
+        if held is None:
+            return rules
+        ok = _outcomes(rules, held).where(sure >= confidence).select("tokens")
+        return rules.join(ok, "tokens", "left_semi")
+
+    alone = labelled.select("label", F.explode("tokens").alias("key")).groupBy("key").agg(F.count("*").alias("all"), F.sum((F.col("label") == "block").cast("long")).alias("bad"))
+    alone = written(alone.where(F.col("bad") >= need), "url-tokens")
+    single = written(tested(as_rules(alone.withColumn("tokens", F.array("key")))), "url-rules")
+    # the frequent tokens that are no rule alone: bounded by the support, see above
+    left = alone.join(single.select("key"), "key", "left_anti").agg(F.array_sort(F.collect_list("key"))).scalar()
+    rows = written(bad.select(F.array_intersect("tokens", left).alias("items")).where("size(items) > 1"), "url-items")
+    many = rows.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, need / max(many, 1)), minConfidence=1.0).fit(rows)
+    sets = model.freqItemsets.where(F.size("items").between(2, longest)).select(F.array_sort("items").alias("tokens"))
+    counts = alone.select("key", F.col("all").alias("count"))
     keyed = sets.withColumn("token", F.explode("tokens")).join(counts, F.col("token") == F.col("key")).groupBy("tokens").agg(F.min(F.struct("count", "key")).alias("rare")).select("tokens", F.col("rare.key").alias("key"))
-    keyed = written(keyed, "url-sets")
-    alike = labelled.groupBy(F.col("tokens").alias("own"), "label").agg(F.count("*").alias("many"))
-    met = alike.withColumn("key", F.explode("own")).join(keyed, "key").where(F.size(F.array_except("tokens", "own")) == 0)
-    scored = met.groupBy("tokens", "key").agg(F.sum("many").alias("all"), F.sum(F.when(F.col("label") == "block", F.col("many")).otherwise(0)).alias("bad"))
-    rules = scored.select("tokens", (F.col("bad") / F.col("all")).alias("confidence"), (F.col("bad") / F.lit(total)).alias("support"), "key").where((F.col("confidence") >= confidence) & (F.col("support") >= support))
-    rules = written(rules, "url-rules")
+    several = tested(written(as_rules(_outcomes(written(keyed, "url-sets"), labelled)), "url-rules"))
+    rules = written(single.unionByName(several), "url-rules")
     short = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("sure"), F.col("key").alias("token"))
     longer = rules.withColumn("token", F.explode("tokens")).join(short, "token").where((F.size("less") < F.size("tokens")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
     return rules.join(longer.select("tokens").distinct(), "tokens", "left_anti")
@@ -123,10 +153,13 @@ def fired(sets: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, key: str = "page_id", url: str = "url", rules=LISTED, **how) -> DataFrame:
     """``page_id, host, path, rule, verdict, mined`` for every page; ``labelled`` has ``url, label``."""
     judged = judged_urls(pages, key, url, rules)
+    seeded = F.lit(False)
     if labelled is None:
-        training = seed_labels(judged)
+        training, seeded = seed_labels(judged), _lexical()
     else:
-        training = judged_urls(labelled.withColumn("page_id", F.col("label")), "page_id", "url", rules).select("tokens", F.col("page_id").alias("label"))
-    mined = fired(judged.where("listed IS NULL").select("tokens").distinct(), mine_rules(training, **how))
+        training = judged_urls(labelled.withColumn("page_id", F.col("label")), "page_id", "url", rules).where("listed IS NULL").select("tokens", "held", F.col("page_id").alias("label"))
+    found = mine_rules(training.where("NOT held"), held=training.where("held"), **how)
+    mined = fired(judged.where("listed IS NULL").select("tokens").distinct(), found)
     out = judged.join(mined, "tokens", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("mined").isNotNull(), "block"), F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"))
+    bad = F.col("mined").isNotNull() | seeded
+    return out.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(bad, "block"), F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import textwrap
 from collections import Counter
 
@@ -140,6 +141,27 @@ def test_op3(spark):
         assert (host, path, rule) == want[:3] and verdict == (want[3] or verdict)
 
 
+def test_op3_blocks_bad_hosts_only(spark):
+    """Of the pages that the list leaves open, those whose host has a word of the lexicon are blocked, no others."""
+    base = DATA.replace("0.001", "0.01")
+    found = [r for r in QUERIES["op3_url_rules"](spark, base).collect() if r.rule is None]
+    bad = [not set(re.split("[.-]", re.sub("[0-9]+", "#", r.host))).isdisjoint(url_rules.LEXICON) for r in found]
+    assert 0 < sum(bad) < len(found) / 4
+    assert [r.verdict == "block" for r in found] == bad
+
+
+def test_op3_learns_combinations(spark):
+    """Rules from labelled urls hold on urls that are not labelled; a token on both sides decides nothing."""
+    hosts = ["alpha", "beta", "gamma", "delta"]
+    say = lambda h, p: "block" if h in ("alpha", "beta") and p == "win" else "allow"
+    urls = [(f"http://{h}-site.example.net/{p}/{k}x", say(h, p)) for h in hosts for p in ("win", "news") for k in "abcdefghijklmnopqrstuvwxyz"]
+    listed_only = [(f"http://a.com/de/{k}", "block") for k in range(50)]
+    labelled = spark.createDataFrame(urls + listed_only, "url string, label string")
+    pages = spark.createDataFrame([(i, f"https://m.{h}-site.example.com/en/{p}/new") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("win", "news"))], "page_id long, url string")
+    got = [r.verdict for r in url_rules.filter_urls(pages, labelled).orderBy("page_id").collect()]
+    assert got == [say(h, p) for h in hosts for p in ("win", "news")]
+
+
 def test_op3_odd_rows(spark):
     urls = [None, "", "no url", "http://", "HTTP://A.Example.ORG/es/x", "x://org", "x://notorg/", "https://www.example.org/en/12?q=/de/", "http://Ünicode.COM/de/#f", "a://b.com/fr/?x=://c.org/", "http://casino.example.net/?A1=2&b"]
     pages = spark.createDataFrame([(i % 7, u, "h") for i, u in enumerate(urls * 2)], "page_id long, url string, mined string")
