@@ -159,7 +159,8 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, key: str =
     else:
         training = judged_urls(labelled.withColumn("page_id", F.col("label")), "page_id", "url", rules).where("listed IS NULL").select("tokens", "held", F.col("page_id").alias("label"))
     found = mine_rules(training.where("NOT held"), held=training.where("held"), **how)
-    mined = fired(judged.where("listed IS NULL").select("tokens").distinct(), found)
+    # written, so that the join below is free to split a token set that very many pages share
+    mined = written(fired(judged.where("listed IS NULL").select("tokens").distinct(), found), "url-fired")
     out = judged.join(mined, "tokens", "left")
     bad = F.col("mined").isNotNull() | seeded
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(bad, "block"), F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"))
