@@ -22,6 +22,7 @@ from .parity import (  # noqa: F401
 )
 from .reshape import expand_months, expand_range, generate, rows, to_long, to_wide  # noqa: F401
 from .retrieval import context, fallback_text, nearest, pairs_measured, with_fallback  # noqa: F401
+from .sketches import distinct_error, distinct_sketches, sketch_counts, unite_sketches  # noqa: F401
 from .sorting import nodupkey, sort  # noqa: F401
 from .summary import (  # noqa: F401
     describe, exact_quantiles, freq, into_list, means, nth_highest, row_count,

@@ -25,7 +25,9 @@ def sort(df: DataFrame, keys, where: Column | None = None) -> DataFrame:
     rest = [c for c in df.columns if c not in {k.name for k in parsed}]
     if rest:
         order.append(F.xxhash64(*rest))
-    if all(orderable(f.dataType) for f in df.schema.fields) and has_hot_group(df, names):
+    # rows can only be copies of each other where their keys are: other columns are read if a key is hot
+    keyed = [k.name for k in parsed]
+    if all(orderable(f.dataType) for f in df.schema.fields) and has_hot_group(df, keyed) and has_hot_group(df, names):
         df = number_copies(df, "__copy")
         order.append(F.col("__copy").asc())
     return df.orderBy(*order).select(*names)

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ordered
 from .keys import as_list, same_keys
+from .selection import exact_quantiles
 from .spread import piece_rows
 
 #: quantile statistics and their probability
@@ -94,43 +94,6 @@ def means(
     return out.select(*by, F.inline(rows))
 
 
-def exact_quantiles(df: DataFrame, vars: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Exact quantiles without a per-group value list in one task.
-
-    The values are ordered in split groups, only the two rows around each wanted position are kept.
-    Columns ``__q_<variable no>_<probability no>``.
-    """
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("__var"), F.col(v).cast("double").alias("__x")) for i, v in enumerate(vars)]
-    )
-    values = df.select(*by, F.inline(pairs)).where(F.col("__x").isNotNull())
-    groups = [*by, "__var"]
-    ranked = ordered.row_number(values, groups, ["__x"], "__no", ties=False)
-    sizes = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    right = sizes.withColumnsRenamed({g: f"__g_{g}" for g in groups})
-    on = same_keys((F.col(g), F.col(f"__g_{g}")) for g in groups)
-    both = ranked.join(right, on)
-    wanted = F.array(
-        *[
-            F.struct(F.lit(j).alias("q"), ((F.col("__n") - 1) * F.lit(float(p)) + 1).alias("at"))
-            for j, p in enumerate(probs)
-        ]
-    )
-    near = both.select(*groups, "__no", "__x", F.inline(wanted)).where(
-        (F.col("__no") == F.floor("at")) | (F.col("__no") == F.ceil("at"))
-    )
-    per_q = near.groupBy(*groups, "q", "at").agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
-        (F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi")
-    )
-    cells = [
-        F.max(F.when((F.col("__var") == i) & (F.col("q") == j), value)).alias(f"__q_{i}_{j}")
-        for i in range(len(vars))
-        for j in range(len(probs))
-    ]
-    return (per_q.groupBy(*by) if by else per_q).agg(*cells)
-
-
 def describe(df: DataFrame, vars) -> DataFrame:
     """count, mean, std, min, quartiles and max, one typed row per variable."""
     stats = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]

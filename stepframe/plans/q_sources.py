@@ -60,10 +60,10 @@ def list_input(t):
 def text_scan(t):
     base = sf.scratch_path(t.spark, "texts")
     t.documents.select("lang", "source", "text").write.partitionBy("lang", "source").text(base)
-    found = sf.read_texts(t.spark, base)
+    found = sf.read_text_lines(t.spark, base)
     part = lambda name: F.regexp_extract("filepath", f"{name}=([^/]+)", 1).alias(name)
     return (
-        found.select(part("lang"), part("source"), F.length("text").alias("n"))
+        found.select(part("lang"), part("source"), (F.length("line") + 1).alias("n"))
         .groupBy("lang", "source")
         .agg(F.sum("n").alias("chars"))
     )

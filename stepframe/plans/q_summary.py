@@ -185,6 +185,22 @@ def count_distinct(t):
     )
 
 
+@query(
+    "distinct_sketch",
+    """SELECT year(l_shipdate)::INT AS year, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts,
+              TRUE AS suppliers_near, TRUE AS parts_near FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1""",
+)
+def distinct_sketch(t):
+    """Sketches per month and flag, united per year, beside the exact counts: within five standard errors of them."""
+    lines = t.lineitem.select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), "l_returnflag", "l_suppkey", "l_partkey")
+    near = sf.sketch_counts(sf.unite_sketches(sf.distinct_sketches(lines, ["l_suppkey", "l_partkey"], ["year", "month", "l_returnflag"]), "year"))
+    exact = lines.groupBy("year").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
+    close = lambda a, b: F.abs(c(a) - c(b)) <= 5 * sf.distinct_error() * c(b)
+    return exact.join(near, "year").select(
+        "year", "suppliers", "parts", close("l_suppkey_distinct", "suppliers").alias("suppliers_near"), close("l_partkey_distinct", "parts").alias("parts_near")
+    )
+
+
 @query(
     "into_list",
     """SELECT c_custkey, c_mktsegment, (SELECT string_agg(s, '@' ORDER BY s) FROM (SELECT DISTINCT c_mktsegment AS s

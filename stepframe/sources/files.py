@@ -14,14 +14,19 @@ CHUNK_KEY = ("filepath", "section_index", "chunk_index")
 _NO_TEXT = "\x00missing\x00"
 
 
-def import_csv(spark: SparkSession, path: str, schema, header: bool = True, sep: str = ",") -> DataFrame:
+def import_csv(spark: SparkSession, path: str, schema, header: bool = True, sep: str = ",", line_ends: bool | None = None) -> DataFrame:
     """Delimited file with a declared schema; no extra pass to guess types.
 
-    A field may hold line ends. An empty field is missing, a quoted empty one is empty text. A record that does not
-    fit the schema is an error.
+    An empty field is missing, a quoted empty one is empty text. A record that does not fit the schema is an error.
+    A field may hold line ends, but then a file is one task; large files without are read in parts, by many tasks. Left
+    open, ``line_ends`` is looked up first: only a record that goes on has a line with an odd number of quotes.
     """
-    return spark.read.csv(
-        path, schema=schema, header=header, sep=sep, escape='"', multiLine=True, mode="FAILFAST",
+    if line_ends is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        line_ends = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    # all columns are looked at, whichever are asked for, so that no broken record passes
+    return spark.read.option("columnPruning", False).csv(
+        path, schema=schema, header=header, sep=sep, escape='"', multiLine=line_ends, mode="FAILFAST",
         nullValue=_NO_TEXT, emptyValue="",
     )
 
@@ -66,18 +71,34 @@ def datalines(spark: SparkSession, text: str, schema: T.StructType | str, date_f
     return lines.select(parse_fields(F.col("line"), schema, date_format).alias("r")).select("r.*")
 
 
+def _suffix_glob(suffixes: Sequence[str]) -> str:
+    return "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+
+
 def read_texts(spark: SparkSession, path: str, suffixes: Sequence[str] = (".md", ".txt")) -> DataFrame:
     """All text files below a folder as (filepath, text); the suffix is compared without case.
 
-    The suffix filter uses the file path, so files of other kinds are not opened.
+    The suffix filter uses the file path, so files of other kinds are not opened. A file is one row, so it is for
+    documents; ``read_text_lines`` takes files of any size.
     """
-    globs = "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
     return (
-        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=globs)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=_suffix_glob(suffixes))
         .select(F.col("_metadata.file_path").alias("filepath"), F.col("value").alias("text"))
     )
 
 
+def read_text_lines(spark: SparkSession, path: str, suffixes: Sequence[str] = (".md", ".txt")) -> DataFrame:
+    """All lines of the text files below a folder as (filepath, part, line); for files too large for one row.
+
+    ``part`` is where in the file the reading task began. Files are cut between tasks at line ends, and only
+    a newline ends a line. A newline at the end of a file begins no further line.
+    """
+    return (
+        spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter=_suffix_glob(suffixes))
+        .select(F.col("_metadata.file_path").alias("filepath"), F.col("_metadata.file_block_start").alias("part"), F.col("value").alias("line"))
+    )
+
+
 def save_chunks(df: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
     """Add the documents of ``df`` to the collection at ``path`` (or rebuild it) and return the collection.
 

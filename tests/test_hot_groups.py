@@ -89,6 +89,24 @@ def test_quantiles(skewed, small_pieces, spark):
         assert [[pytest.approx(v) if isinstance(v, float) else v for v in r] for r in want] == [list(r) for r in got]
 
 
+def test_quantiles_by_counting(spark):
+    """Ranks inside, at the edge of and beside a value with very many copies; a group of one value; missing keys."""
+    rnd = random.Random(8)
+    data = [(rnd.choice(["a", None]), rnd.choice([7.0, 7.0, rnd.gauss(7, 1), -0.0, 1e300])) for _ in range(3000)]
+    data += [("one", 3.5)] * 400 + [("few", float(k)) for k in range(5)] + [("none", None)] * 3
+    df = spark.createDataFrame(data, "k string, x double").cache()
+    probs = [0.0, 0.001, 0.2, 0.25, 0.39, 0.4, 0.5, 0.75, 0.8, 0.999, 1.0]
+    want = {r.k: r.x for r in df.where("x IS NOT NULL").groupBy("k").agg(F.percentile("x", probs).alias("x")).collect()}
+    spark.conf.set("stepframe.pieceRows", "50")
+    try:
+        got = {r.k: [r[f"__q_0_{j}"] for j in range(len(probs))] for r in sf.exact_quantiles(df, ["x"], probs, ["k"]).collect()}
+        none = sf.exact_quantiles(df.where("x > 1e301"), ["x"], [0.5], []).collect()
+    finally:
+        spark.conf.unset("stepframe.pieceRows")
+    assert got == want
+    assert [tuple(r) for r in none] == [(None,)]
+
+
 @pytest.mark.parametrize("keep", ["all", "left", "right", "both", "left_only", "right_only"])
 def test_merge(skewed, small_pieces, keep):
     right = skewed.where("id % 7 = 0 AND coalesce(key, '') <> 'c'").select("key", F.lit("r").alias("mark"), "amount")

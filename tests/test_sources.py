@@ -31,6 +31,41 @@ def test_export_and_import(spark, fmt):
     assert rows(back) == rows(df)
 
 
+def test_csv_without_line_ends_is_read_in_parts(spark):
+    path = sf.export({"t": spark.range(0, 20_000, 1, 1).selectExpr("id", "concat('a \"quoted\", text ', id) AS s")}, sf.scratch_path(spark, "csv"))[0]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        back = sf.import_csv(spark, path, "id bigint, s string")
+        assert back.rdd.getNumPartitions() > 3
+        assert rows(back)[17] == (17, 'a "quoted", text 17') and back.count() == back.distinct().count() == 20_000
+        assert sf.import_csv(spark, path, "id bigint, s string", line_ends=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_broken_records_are_errors(spark):
+    path = sf.export({"t": spark.createDataFrame([(1, "x\ny")], "i int, s string")}, sf.scratch_path(spark, "csv"))[0]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sf.import_csv(spark, path, "i int, s string", line_ends=False).select("i").collect()
+
+
+def test_text_lines(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"one\r\n\ntwo\n")
+    (tmp_path / "b.TXT").write_text("three")
+    (tmp_path / "big.txt").write_text("line\n" * 50_000)
+    (tmp_path / "c.csv").write_text("no")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        out = sf.read_text_lines(spark, str(tmp_path)).withColumn("name", F.regexp_extract("filepath", "[^/]*$", 0)).cache()
+        assert rows(out.where("name <> 'big.txt'"), "name", "line") == [("a.md", ""), ("a.md", "one\r"), ("a.md", "two"), ("b.TXT", "three")]
+        big = out.where("name = 'big.txt' AND line = 'line'")
+        assert big.count() == 50_000 and big.select("part").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_inline_rows(spark):
     text = """
     1 Ram   20NOV1990

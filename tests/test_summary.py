@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 import stepframe as sf
 
@@ -57,3 +58,18 @@ def test_sort_puts_missing_lowest(spark):
     df = spark.createDataFrame([(1,), (None,), (2,)], "v int")
     assert [r.v for r in sf.sort(df, "v").collect()] == [None, 1, 2]
     assert [r.v for r in sf.sort(df, "-v").collect()] == [2, 1, None]
+
+
+def test_distinct_sketches_unite(spark):
+    data = spark.range(60_000).select((F.col("id") % 7).alias("day"), F.when(F.col("id") % 3 > 0, F.col("id") % 20_000).alias("user"), (F.col("id") % 11 / 2).alias("rate"))
+    data = data.withColumn("day", F.when(F.col("day") > 0, F.col("day")))
+    per_day = sf.distinct_sketches(data, ["user", "rate"], "day")
+    assert per_day.count() == 6
+    exact = data.where("day IS NOT NULL").agg(F.count_distinct("user"), F.count_distinct("rate")).head()
+    whole = sf.sketch_counts(sf.unite_sketches(per_day)).head()
+    assert abs(whole.user_distinct - exact[0]) <= 4 * sf.distinct_error() * exact[0] and whole.rate_distinct == exact[1] == 11
+    # copies change nothing, and union in one step or two is the same
+    assert sf.sketch_counts(sf.distinct_sketches(data.where("day IS NOT NULL").unionAll(data), ["user", "rate"], "day")).orderBy("day").collect() == sf.sketch_counts(per_day).orderBy("day").collect()
+    empty = sf.sketch_counts(sf.distinct_sketches(data.limit(0), "user")).collect()
+    assert [r.user_distinct for r in empty] == [0]
+    assert sf.sketch_counts(sf.distinct_sketches(data, "user", "day", include_missing=True)).count() == 7
