@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .keys import as_list, same_keys
 from .spread import has_hot_group
@@ -14,6 +15,8 @@ from .spread import has_hot_group
 _L, _R = "__in_left", "__in_right"
 _HOW = {"all": "full", "both": "inner", "left": "left", "right": "right"}
 KEEP = (*_HOW, "left_only", "right_only")
+#: types that Spark widens to each other without loss of meaning; nested ones are left to Spark
+_FAMILIES = (T.NumericType, (T.StringType, T.CharType, T.VarcharType), (T.DateType, T.TimestampType, T.TimestampNTZType), (T.ArrayType, T.MapType, T.StructType))
 
 
 def merge(
@@ -49,6 +52,7 @@ def merge(
     names = list(flags) if flags else [f"__in{i}" for i in range(len(frames))]
     if len(names) != len(frames):
         raise ValueError("one flag name per dataset")
+    _check_types(frames)
     how = keep if isinstance(keep, str) else "all"
     if how in ("left_only", "right_only") and not flags:
         return _only(*(frames if how == "left_only" else frames[::-1]), by, frames)
@@ -71,6 +75,15 @@ def merge(
     return out.select(*data, *names) if flags else out.select(*data)
 
 
+def _check_types(frames: Sequence[DataFrame]) -> None:
+    """A column that several datasets have must be of one family of types: numbers, texts, days and times, or one type."""
+    seen: dict[str, T.DataType] = {}
+    for f in (f for df in frames for f in df.schema.fields if not isinstance(f.dataType, T.NullType)):
+        first = seen.setdefault(f.name, f.dataType)
+        if first != f.dataType and not any(isinstance(first, kind) and isinstance(f.dataType, kind) for kind in _FAMILIES):
+            raise ValueError(f"column {f.name} is {first.simpleString()} in one dataset and {f.dataType.simpleString()} in another; cast it before the merge")
+
+
 def _pair(left, right, by, how, left_flags, right_flag, split_hot) -> DataFrame:
     renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in right.columns if c != right_flag})
     on = same_keys((left[b], renamed[f"__r_{b}"]) for b in by)

@@ -87,3 +87,13 @@ def test_merge_stays_a_hash_join(spark):
         assert "SortMergeJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_columns_of_other_types_are_named(spark):
+    left = spark.createDataFrame([(1, 1.5, "a")], "k int, x double, s string")
+    right = spark.createDataFrame([(1, 2, "2024-01-01")], "k bigint, x int, s string")
+    assert rows(sf.merge([left, right], "k"), "k", "x", "s") == [(1, 2.0, "2024-01-01")]
+    with pytest.raises(ValueError, match="column s is string in one dataset and date in another"):
+        sf.merge([left, right.withColumn("s", F.col("s").cast("date"))], "k")
+    with pytest.raises(ValueError, match="column k is int"):
+        sf.merge([left, right.withColumn("k", F.col("k").cast("string"))], "k", keep="left_only")
