@@ -21,8 +21,28 @@ from pyspark.sql import functions as F
 
 from .common import aside, back, let
 
+# fixed values: what a notice may call the work; licence families by the name in their notices, and their versions
+_WORKS = ["program", "library", "software", "file"]
+_FAMILIES = {"GPL": ("gnu general public license", ["2", "3"]), "LGPL": ("gnu lesser general public license", ["2.1", "3"]), "LibraryGPL": ("gnu library general public license", ["2"]), "AGPL": ("gnu affero general public license", ["3"])}
+
+
+def _versions() -> dict[str, list[str]]:
+    """Sentences that make a work free software, by family, version, and whether later versions may be chosen."""
+    out = {}
+    for family, (name, versions) in _FAMILIES.items():
+        for v in versions:
+            number = v.replace(".", " ")
+            begin = [f"this {x} is free software you can redistribute it and or modify it under the terms of the {name}" for x in _WORKS]
+            by = "as published by the free software foundation"
+            out[f"{family}{v}Later"] = [f"{x} {by} either version {number} of the license or at your option any later version" for x in begin]
+            only = [f"{by} version {number} of the license", f"{by} version {number}", f"version {number} {by}", f"version {number} only {by}", f"{by} version {number} only"]
+            out[f"{family}{v}Only"] = [f"{x} {rest}" for x in begin for rest in only]
+    return out
+
+
 # fixed values: known licence sentences, normalised, by identifier
 SENTENCES = {
+    **_versions(),
     "ApacheLine": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"],
     "ApacheCompliance": ["you may not use this file except in compliance with the license"],
     "ApacheCopy": [f"you may obtain a copy of the license at {scheme} www apache org licenses license 2 0" for scheme in ("http", "https")],
@@ -41,13 +61,30 @@ SENTENCES = {
     "BSDLine": ["licensed under the bsd license", "released under the bsd license", "licensed under the 3 clause bsd license"],
     "BSDGrant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "GPL3Line": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
-    "GPLFree": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    "GPLHope": [f"this {x} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose" for x in _WORKS],
+    "GPLDetails": ["see the gnu general public license for more details"],
+    "LGPLDetails": [f"see the gnu {x} general public license for more details" for x in ("lesser", "library")],
+    "AGPLDetails": ["see the gnu affero general public license for more details"],
+    "MPL2Subject": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "MPL2Copy": [f"if a copy of the mpl was not distributed with this file you can obtain one at {scheme} mozilla org mpl 2 0" for scheme in ("http", "https")],
+    "ISCGrant": [
+        f"permission to use copy modify {x} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        for x in ("and", "and or")
     ],
-    "GPLHope": [
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+    "ISCAsIs": [
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+    ],
+    "ISCDamages": [
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ],
+    "BSDSource": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "BSDBinary": [
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    ],
+    "BSDEndorse": [
+        f"neither the name of the {x} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+        for x in ("copyright holder", "copyright holders", "organization", "university")
     ],
-    "GPLDetails": ["see the gnu general public license for more details"],
     "CCBYNC4Line": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
     "CCBY4Line": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0"],
     "CCBYSA4Line": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
@@ -56,13 +93,33 @@ SENTENCES = {
 }
 # fixed values: sentence openings whose rest varies
 OPENINGS = {"Copyright": r"^copyright (c )?[0-9]{4}\b", "SpdxLine": r"^spdx license identifier [a-z0-9]"}
+# fixed values: licences of the GNU family, their sentence without the scope, and the pointer to details
+_GNU = [
+    ("GPL-2.0", "GPL2", "GPLDetails"),
+    ("GPL-3.0", "GPL3", "GPLDetails"),
+    ("LGPL-2.0", "LibraryGPL2", "LGPLDetails"),
+    ("LGPL-2.1", "LGPL2.1", "LGPLDetails"),
+    ("LGPL-3.0", "LGPL3", "LGPLDetails"),
+    ("AGPL-3.0", "AGPL3", "AGPLDetails"),
+]
 # fixed values: rules in order, longer ones first; licence, kind, identifiers
 RULES = [
     ("Apache-2.0", "permissive", ["ApacheLine", "ApacheCompliance", "ApacheCopy", "ApacheBasis", "ApacheLimits"]),
     ("MIT", "permissive", ["MITLine", "Copyright", "MITGrant", "MITNotice", "MITAsIs"]),
     ("MIT", "permissive", ["MITGrant", "MITNotice", "MITAsIs"]),
-    ("GPL-3.0-or-later", "copyleft", ["GPLFree", "GPLHope", "GPLDetails"]),
-    ("GPL-3.0-or-later", "copyleft", ["GPLFree"]),
+    ("ISC", "permissive", ["ISCGrant", "ISCAsIs", "ISCDamages"]),
+    ("ISC", "permissive", ["ISCGrant"]),
+    ("MPL-2.0", "copyleft", ["MPL2Subject", "MPL2Copy"]),
+    ("MPL-2.0", "copyleft", ["MPL2Subject"]),
+    *[
+        (f"{spdx}-{scope}", "copyleft", [f"{free}{kind}", *rest])
+        for spdx, free, details in _GNU
+        for scope, kind in (("or-later", "Later"), ("only", "Only"))
+        for rest in (["GPLHope", details], [])
+    ],
+    ("BSD-3-Clause", "permissive", ["BSDLine", "BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse"]),
+    ("BSD-3-Clause", "permissive", ["BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse"]),
+    ("BSD-2-Clause", "permissive", ["BSDGrant", "BSDSource", "BSDBinary"]),
     ("BSD-3-Clause", "permissive", ["BSDLine", "BSDGrant"]),
     ("BSD", "permissive", ["BSDGrant"]),
     ("BSD", "permissive", ["BSDLine"]),
@@ -77,7 +134,7 @@ RULES = [
     ("Proprietary", "restricted", ["Copyright", "AllRights"]),
 ]
 # fixed values: every known sentence or opening holds one of these
-CUES = ["licen", "copyright", "permission", "redistribut", r"public\W+domain", "warrant", r"free\W+software", r"rights\W+reserved"]
+CUES = ["licen", "copyright", "permission", "redistribut", r"public\W+domain", "warrant", r"free\W+software", r"rights\W+reserved", "mozilla", "liable"]
 #: sentences may end after these marks before white space, at empty lines, and before lines that open a known sentence
 _ENDS = r"(?<=[.!?:;])[\s\p{Z}]+|\n[ \t]*\r?\n|\n(?=[ \t#*/;-]*(?i:licensed|released|this|permission|copyright|spdx|redistribution|the|you|unless|see|mit|all)\b)"
 

@@ -538,7 +538,55 @@ modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice.
 """
+GPL2 = GPL3.replace("free software: you", "free software; you").replace("Foundation, either version 3", "Foundation; either version 2").split("\n\nYou should")[0]
+LGPL = GPL2.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1")
+LIBRARY = LGPL.replace("Lesser", "Library").replace("version 2.1", "version 2")
+AGPL = GPL3.replace("GNU General", "GNU Affero General").split("\n\nYou should")[0]
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Copyright (c) 2020, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
 NOTICES = {
+    "gpl 2": (GPL2, ["GPL-2.0-or-later"], []),
+    "gpl 2 only": (GPL2.replace("either version 2 of the License, or\n(at your option) any later version", "version 2 of the License"), ["GPL-2.0-only"], []),
+    "gpl 2 kernel": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0-only"], []),
+    "lgpl": (LGPL, ["LGPL-2.1-or-later"], []),
+    "library gpl": (LIBRARY, ["LGPL-2.0-or-later"], []),
+    "lgpl 3": (LGPL.replace("version 2.1", "version 3"), ["LGPL-3.0-or-later"], []),
+    "agpl": (AGPL, ["AGPL-3.0-or-later"], []),
+    "mpl": (MPL, ["MPL-2.0"], []),
+    "isc": (ISC, ["ISC"], ["Copyright"]),
+    "bsd 2 clauses": (BSD2, ["BSD-2-Clause"], []),
+    "bsd 3 clauses": (BSD3, ["BSD-3-Clause"], []),
     "apache": (APACHE, ["Apache-2.0"], ["Copyright"]),
     "gpl": (GPL3, ["GPL-3.0-or-later"], []),
     "gpl first": (GPL3.split("\n\n")[0], ["GPL-3.0-or-later"], []),
