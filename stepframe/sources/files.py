@@ -125,6 +125,15 @@ def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return stored.join(latest, same, "left_semi").select(*(columns or [c for c in stored.columns if c != "__version"]))
 
 
+def compact_chunks(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """Write the latest versions of a chunk collection to the new folder ``to``, as its first version.
+
+    Replaced versions stay behind in ``path``, which is left as it is: readers may still use it. ``to`` must not exist.
+    """
+    read_chunks(spark, path).withColumn("__version", F.lit(1)).write.partitionBy("__version").parquet(to)
+    return read_chunks(spark, to)
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

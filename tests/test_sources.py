@@ -96,6 +96,20 @@ def test_chunk_collection(spark):
     assert sf.save_chunks(more, path, rebuild=True).count() == 2
 
 
+def test_compacted_collection_holds_latest_versions_only(spark):
+    kind = "filepath string, section_index int, chunk_index int, text string"
+    path, to = sf.scratch_path(spark, "collection"), sf.scratch_path(spark, "compact")
+    sf.save_chunks(spark.createDataFrame([("a", 0, 0, "old"), ("a", 0, 1, "tail"), (None, 0, 0, "n")], kind), path)
+    sf.save_chunks(spark.createDataFrame([("a", 0, 0, "new")], kind), path)
+    got = sf.compact_chunks(spark, path, to)
+    assert rows(got) == rows(sf.read_chunks(spark, path)) == [(None, 0, 0, "n"), ("a", 0, 0, "new")]
+    assert spark.read.parquet(path).count() == 4 and spark.read.parquet(to).count() == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        sf.compact_chunks(spark, path, to)
+    more = sf.save_chunks(spark.createDataFrame([("b", 0, 0, "b")], kind), to)
+    assert rows(more) == [(None, 0, 0, "n"), ("a", 0, 0, "new"), ("b", 0, 0, "b")]
+
+
 def test_split_by_value(spark):
     df = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "k string, v int")
     parts = sf.split_by_value(df, "k", ["x", "y"], "loans_")
