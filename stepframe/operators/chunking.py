@@ -6,7 +6,6 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,10 +86,10 @@ def size_chunks(
     characters that an overlap past the end of the text gives. Adds ``chunk_index``.
     """
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else _chunks_of(t, size, overlap, keep_tail))
+    # row by row: Arrow batches of thousands of long texts, and all their chunks, would stand in a Python worker at once
+    @F.udf("array<string>", useArrow=False)
+    def split(t: str | None) -> list[str] | None:
+        return None if t is None else _chunks_of(t, size, overlap, keep_tail)
 
     # one pass: the Python worker sees long texts only, a short text is one chunk as it is
     rows = fan_out(df).withColumn("__long", split(F.when(F.length(text) > size, F.col(text))))

@@ -29,6 +29,21 @@ def test_chunks_cover_the_text_and_end(spark):
         assert sum(len(c.replace("\n", "")) for c in got[i]) >= len(letters)
 
 
+def test_chunks_are_cut_row_by_row(spark):
+    """A Python worker holds a few texts, not an Arrow batch of up to 10,000 and all their chunks."""
+    df = spark.range(300).select("id", F.expr("CASE WHEN id % 3 = 0 THEN repeat(concat('line ', id, '\n'), 900) WHEN id % 3 = 1 THEN 'short' END").alias("text"))
+    out = sf.size_chunks(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert rows(sf.chunk_counts(out, by="id")) == sorted((i, len(c)) for i in range(300) if (c := _plain_chunks(i)))
+
+
+def _plain_chunks(i):
+    from stepframe.operators.chunking import _chunks_of
+
+    return _chunks_of(f"line {i}\n" * 900, 2048, 256, False) if i % 3 == 0 else ["short"] if i % 3 == 1 else []
+
+
 def test_tail_of_an_overlap(spark):
     df = spark.createDataFrame([(1, "q" * 2047 + "\n" + "r" * 1900)], "id int, text string")
     short, full = sf.size_chunks(df).collect(), sf.size_chunks(df, keep_tail=True).collect()
