@@ -33,14 +33,72 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, kept_by, written
+from .common import byte_slices, giving_back, kept_by, written
 
 CAPACITY = 4096
 #: pieces of one length that a task ranks
 RANK_ROWS = 1_000_000
-#: words as written, and words in lower case without end marks, whose ids a Python worker remembers (about 150 MB)
-REMEMBERED, REMEMBERED_BASES = 600_000, 500_000
+#: words as written, and words in lower case without end marks, whose ids a Python worker remembers (about 60 and 30 MB)
+REMEMBERED, REMEMBERED_BASES = 1_000_000, 150_000
+#: bytes of a word that the table of words holds; longer ones are learnt each time
+WORD_BYTES = 16
 END_MARKS = ".,!?;:"
+_SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+class _Words:
+    """Ids of words of at most ``WORD_BYTES`` bytes, none of them zero, with open addressing over arrays.
+
+    A word is its bytes in two numbers, so that words are compared as a whole.
+    """
+
+    def __init__(self, most: int):
+        bits = (2 * most - 1).bit_length()
+        self.most, self.many, self.used = most, 0, 0
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.low, self.high = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.uint64)
+        self.at, self.size = np.zeros(1 << bits, dtype=np.uint32), np.zeros(1 << bits, dtype=np.uint16)
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+
+    def _first(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0xD1342543DE82EF95))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift
+
+    def slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slots of the words; unknown ones get an empty slot."""
+        slot = self._first(low, high)
+        there = self.low[slot]
+        open_ = np.flatnonzero((there != 0) & ((there != low) | (self.high[slot] != high)))
+        while len(open_):
+            at = (slot[open_] + np.uint64(1)) & self.mask
+            slot[open_] = at
+            there = self.low[at]
+            open_ = open_[(there != 0) & ((there != low[open_]) | (self.high[at] != high[open_]))]
+        return slot
+
+    def hold(self, ids: np.ndarray) -> int:
+        """Puts ids behind those of the remembered words, until the next call, and says where."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + len(ids), dtype="<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        return self.used
+
+    def remember(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Keeps different new words whose ids are held, the first of them first, while there is room."""
+        n = min(len(low), self.most - self.many)
+        if n <= 0:
+            return
+        slot, left = self._first(low[:n], high[:n]), np.arange(n)
+        while len(left):
+            free = left[self.low[slot[left]] == 0]
+            want, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.low[want], self.high[want], self.at[want], self.size[want] = low[put], high[put], at[put], size[put]
+            left = left[(self.low[slot[left]] != low[left]) | (self.high[slot[left]] != high[left])]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+        self.many, self.used = self.many + n, int(at[n - 1] + size[n - 1])
+
 
 class WordEncoder:
     """Ids of texts by their words, for tokenizers whose tokens never cross white space and drop it.
@@ -54,7 +112,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Words(REMEMBERED)
         self.bases: dict[str, bytes] = {}
         state = json.loads(self.tokenizer.to_str())
         suffix = state["model"].get("end_of_word_suffix") or ""
@@ -91,22 +149,56 @@ class WordEncoder:
         out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.batch(rest, add_special_tokens=False) if rest else []))
         return out
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        known, bases = self.known, self.bases
-        # split at spaces, tabs and line ends only: further white space is the tokenizer's matter
-        split = [x.split() for x in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        parts = self._parts(fresh) if fresh else []
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words that are not known as written."""
+        bases, parts = self.bases, self._parts(words)
         learnt = self._learn(list({p for pair in parts for p in pair if p and p not in bases}))
         bases.update(learnt)
-        known.update(zip(fresh, [bases[a] + bases[b] if b else bases[a] for a, b in parts]))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
-        for table, new, most in ((known, fresh, REMEMBERED), (bases, learnt, REMEMBERED_BASES)):
-            if len(table) > most:
-                for w in new:
-                    del table[w]
+        out = [bases[a] + bases[b] if b else bases[a] for a, b in parts]
+        if len(bases) > REMEMBERED_BASES:
+            for w in learnt:
+                del bases[w]
         return out
 
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        known = self.known
+        # words end at spaces, tabs and line ends only: further white space is the tokenizer's matter
+        raw = b" ".join([b"", *texts, b" " * WORD_BYTES])
+        data = np.frombuffer(raw, dtype=np.uint8)
+        space = _SPACES[data]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        length = ends - starts
+        eight = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1), writeable=False)
+        part = lambda at, size: eight[at].view("<u8").ravel().astype(np.uint64, copy=False) & _LOW_BYTES[np.clip(size, 0, 8)]
+        low, high = part(starts, length), part(starts + 8, length - 8)
+        short = length <= WORD_BYTES
+        if b"\0" in raw:
+            short[np.searchsorted(starts, np.flatnonzero(data == 0), "right") - 1] = False
+        slot = known.slots(low, high)
+        at, size = known.at[slot].astype(np.int64), known.size[slot].astype(np.int64)
+        new = np.flatnonzero((known.low[slot] == 0) | ~short)
+        if len(new):
+            words = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+            first: dict[bytes, int] = {}
+            which = np.array([first.setdefault(w, len(first)) for w in words])
+            place = np.zeros(len(first), dtype=np.int64)
+            place[which[::-1]] = new[::-1]
+            found = self._ids(list(first))
+            # those that can be remembered stand first
+            turn = np.argsort(~short[place], kind="stable")
+            found_at, found_size = np.zeros(len(first), dtype=np.int64), np.array([len(x) // 4 for x in found])
+            held = known.hold(np.frombuffer(b"".join([found[i] for i in turn.tolist()]), "<u4"))
+            found_at[turn] = held + np.cumsum(found_size[turn]) - found_size[turn]
+            keep = turn[: int(short[place].sum())]
+            at[new], size[new] = found_at[which], found_size[which]
+            known.remember(low[place[keep]], high[place[keep]], found_at[keep], found_size[keep])
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = known.ids[np.repeat(at - before[:-1], size) + np.arange(before[-1])]
+        begin = np.cumsum([1] + [len(x) + 1 for x in texts])
+        cut = before[np.searchsorted(starts, begin)].tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
 
 def encoder(path: str) -> WordEncoder:
     encoders = kept_by("packing")
@@ -138,7 +230,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
             arrays = [keys.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5])]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[5], pa.binary())] * with_ids, names=schema.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(giving_back(cut), schema)
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

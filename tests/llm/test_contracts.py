@@ -440,6 +440,20 @@ def test_op8_words(spark):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("remembered", [3, 1000])
+def test_op8_table_of_words(spark, monkeypatch, remembered):
+    """Words are remembered in arrays as whole words: long ones, zero bytes and a full table change nothing."""
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    monkeypatch.setattr(packing, "REMEMBERED_BASES", remembered)
+    encoder = packing.WordEncoder(tokenizer_path())
+    text = "ab ab\0 ab\0c \0 abcdefghijklmnop abcdefghijklmnopq abcdefghijklmnopr Abcdefgh abcdefgh. abcdefgh\u00a0i é" + " word" * 50
+    for _ in range(2):
+        for t, ids in zip([text, "", " ", text[::-1]], encoder.encode([x.encode() for x in [text, "", " ", text[::-1]]])):
+            assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert encoder.encode([]) == [] and 0 < encoder.known.many <= remembered
+    assert sum(x.nbytes for x in vars(packing._Words(1_000_000)).values() if hasattr(x, "nbytes")) < 64 << 20
+
+
 def test_op8_odd_rows(spark, odd):
     rows = packing.pack_documents(odd, tokenizer_path()).collect()
     check_packing(rows)
