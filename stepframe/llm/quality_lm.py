@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, kept_by, written
+from .common import byte_slices, giving_back, kept_by, written
 
 ORDER = 5
 #: n-grams in one table of weights: 1.5 to 3 slots of 16 bytes for each, at most 144 MB a table
@@ -129,7 +129,7 @@ def count_grams(trusted: DataFrame, order: int = ORDER) -> DataFrame:
                 yield from emit()
         yield from emit()
 
-    rows = trusted.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, gram string, n long")
+    rows = trusted.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(giving_back(count), "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -231,7 +231,7 @@ def _score_pass(docs: DataFrame, shard, order: int, first: bool) -> DataFrame:
                 columns = [part.column(c) if c != "score" else pa.array(old + score) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(giving_back(scan), schema)
 
 
 def self_context(table: _Table, seeds: np.ndarray, order: int) -> np.ndarray:

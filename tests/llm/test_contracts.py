@@ -7,12 +7,13 @@ import textwrap
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stepframe.llm import chat, decision_list, decontaminate, licenses, packing, pii, quality_lm, simhash, suffix_dedup, url_rules
+from stepframe.llm import chat, common, decision_list, decontaminate, licenses, packing, pii, quality_lm, simhash, suffix_dedup, url_rules
 from stepframe.llm.components import components
 from stepframe.llm.queries import QUERIES, tokenizer_path
 
@@ -643,6 +644,18 @@ def test_op10_every_sentence_has_a_cue(spark):
     assert df.where(F.size(licenses.sentence_ids(F.col("text"))) == 0).count() == 0
 
 
+def test_tasks_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    work = common.giving_back(lambda batches: (x + 1 for x in batches))(iter([1, 2]))
+    assert next(work) == 2 and not given
+    assert list(work) == [3] and given == [1]
+    texts = ["ab", None, "é" * 10, "x", "", "yz"]
+    parts = list(common.byte_slices([pa.RecordBatch.from_pydict({"id": range(6), "text": texts})], limit=5))
+    assert [p.column("id").to_pylist() for p, _ in parts] == [[0, 1], [2], [3, 4, 5]]
+    assert [x for _, some in parts for x in some] == [(t or "").encode() for t in texts]
+
+
 def test_pipeline(spark):
     before = spark.read.parquet(f"{DATA}/documents.parquet")
     table, seen = before, []
