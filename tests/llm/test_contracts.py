@@ -7,6 +7,7 @@ import textwrap
 from collections import Counter
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
@@ -335,6 +336,37 @@ def test_similar_texts(spark):
     assert split == len(want) + 4
 
 
+def test_chance_meetings(spark):
+    """Nodes that share an anchor but cannot be similar end there; those that can stay, in batches of any size."""
+    draw, rows = random.Random(5), []
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for k in range(40):  # all share the first block of their third print, and nothing else
+        prints = [signed(draw.getrandbits(64)) for _ in range(8)]
+        prints[2] = signed(draw.getrandbits(64) >> simhash.BLOCK << simhash.BLOCK | (1 << simhash.BLOCK) - 1)
+        rows.append((k, 100, prints))
+        if k % 20 == 0:  # 70 shingles of 90 or 100 cannot be 0.8
+            rows += [(1000 + k, 90, [prints[0] ^ 1 << 40, *prints[1:]]), (2000 + k, 70, prints)]
+    far = lambda a, b: sum(((a[2][i] ^ b[2][i]) & (1 << 64) - 1).bit_count() for i in (0, 1))
+    near = {a[0] for a in rows for b in rows if a[0] != b[0] and far(a, b) <= simhash.FAR and 5 * min(a[1], b[1]) >= 4 * max(a[1], b[1])}
+    assert {0, 20, 1000, 1020} <= near and len(near) < 10 and len(rows) < simhash.CHANCE_ROWS
+    prints = spark.createDataFrame(rows, "node long, n int, prints array<long>")
+    want = None
+    for batch in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = simhash._shared_anchors(prints).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {r.node for r in got} == near
+        assert len(got) == len({(r.anchor, r.node) for r in got})
+        want = want or sorted(map(tuple, got))
+        assert sorted(map(tuple, got)) == want
+    copies = [(5000 + k, 100, rows[0][2]) for k in range(simhash.CHANCE_ROWS + 9)]
+    many = simhash._shared_anchors(spark.createDataFrame(copies, "node long, n int, prints array<long>"))
+    assert many.select("node").distinct().count() == len(copies) and {r["count"] for r in many.collect()} == {len(copies)}
+    assert [simhash._part_bits(x) for x in (0, 200_000, 12_000_000, 10**12)] == [4, 4, 7, 10]
+
+
 def test_similar_texts_plain(spark, docs):
     def shingles(text):
         words = (text or "").lower().split()
@@ -656,6 +688,39 @@ def test_tasks_give_memory_back(monkeypatch):
     assert [x for _, some in parts for x in some] == [(t or "").encode() for t in texts]
 
 
+def test_weights_in_order():
+    """A table of weights holds the arrays that it is given and no copy of them."""
+    draw = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([draw.integers(1, 1 << 64, 5000, dtype=np.uint64), np.arange(1, 300, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(1, 300, dtype=np.uint64)]))
+    draw.shuffle(keys)
+    gain, leave = draw.random(len(keys), dtype=np.float32), draw.random(len(keys), dtype=np.float32)
+    arrays = quality_lm.in_order(keys, gain, leave)
+    table = quality_lm._Table(*arrays)
+    assert table.keys is arrays[0] and table.gain is arrays[1] and table.leave is arrays[2]
+    slot = table.slots(keys)
+    assert (table.gain[slot] == gain).all() and (table.leave[slot] == leave).all()
+    known = set(keys.tolist())
+    other = np.array([x for x in draw.integers(1, 1 << 64, 3000, dtype=np.uint64).tolist() + [400, 2**64 - 400, 2**64 - 1] if x not in known], dtype=np.uint64)
+    assert not table.gain[table.slots(other)].any() and not table.leave[table.slots(other)].any()
+    none = np.zeros(0)
+    table = quality_lm._Table(*quality_lm.in_order(none.astype(np.uint64), none.astype(np.float32), none.astype(np.float32)))
+    assert not table.gain[table.slots(other)].any()
+
+
+def test_written_in_small_batches(spark):
+    """Long texts do not go to Python 10,000 at a time while an intermediate is made."""
+    before = spark.conf.get(common.BATCH_SETTING)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    texts = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    got = [r.n for r in common.written(texts.mapInArrow(rows, "n long"), "test").collect()]
+    assert sum(got) == 1000 and max(got) <= 2 * common.BATCH_BYTES // 20_000
+    assert spark.conf.get(common.BATCH_SETTING) == before
+
+
 def test_pipeline(spark):
     before = spark.read.parquet(f"{DATA}/documents.parquet")
     table, seen = before, []
